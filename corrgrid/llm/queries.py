@@ -9,6 +9,11 @@ from corrgrid.llm.common import table
 from corrgrid.llm.exact_dedup import exact_dedup
 from corrgrid.llm.mixing import entropy_mix
 from corrgrid.llm.simhash import near_dedup
+from corrgrid.llm.substring_dedup import substring_dedup
+
+
+def op3_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def op9_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole)}
+QUERIES = {f.__name__: f for f in (op3_substring_countmin, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
