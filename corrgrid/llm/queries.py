@@ -10,6 +10,7 @@ from corrgrid.llm.exact_dedup import exact_dedup
 from corrgrid.llm.mixing import entropy_mix
 from corrgrid.llm.simhash import near_dedup
 from corrgrid.llm.substring_dedup import substring_dedup
+from corrgrid.llm.toxicity import toxicity
 
 
 def op3_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,11 @@ def op9_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_countmin, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole)}
+def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_countmin, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
