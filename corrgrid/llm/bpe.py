@@ -167,9 +167,9 @@ class Codec:
 
     def ensure(self, split: list[list[tuple[list[str], int | None]]]) -> None:
         need = {w for segments in split for words, _ in segments for w in words}
-        if len(self.words) + len(new := need - self.words.keys()) > CACHE_WORDS:
+        if len(self.words) + len(new := [w for w in need if w not in self.words]) > CACHE_WORDS:
             self.words.clear()
-            new = need
+            new = list(need)
         if new:
             self.learn(new)
 
@@ -236,7 +236,7 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None, *, id_col: st
                     decoded.clear()
                 for segments in split:
                     for words, _ in segments:
-                        for w in set(words) - shown.keys():
+                        for w in [x for x in set(words) if x not in shown]:
                             shown[w] = ",".join(map(str, c.words[w]))
                             decoded[w] = b"".join([c.bytes_of[i] for i in c.words[w]])
                 n, a, b = [], [], []

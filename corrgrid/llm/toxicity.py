@@ -159,7 +159,7 @@ class Model:
         if len(self.cache) > CACHE_TOKENS:
             self.cache.clear()
         cache, own = self.cache, set(tokens(text))
-        for raw in own - cache.keys():
+        for raw in [t for t in own if t not in cache]:
             cache[raw] = self.token(raw)
         found = sorted([e for e in map(cache.__getitem__, own) if e > 0], reverse=True)
         many = math.log1p(len(own))
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 if f == 4:
                     continue
                 own = set(tokens(text))
-                for raw in own - seen.keys():
+                for raw in [t for t in own if t not in seen]:
                     seen[raw] = [e for w in forms(raw, shared.value) for e in entries(w)]
                 n[y].update({e for raw in own for e in seen[raw]})
                 docs_of[y] += 1
