@@ -162,8 +162,7 @@ class Model:
         for raw in [t for t in own if t not in cache]:
             cache[raw] = self.token(raw)
         found = sorted([e for e in map(cache.__getitem__, own) if e > 0], reverse=True)
-        many = math.log1p(len(own))
-        return [math.log1p(sum(found[:8])), found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(sum(e > 2.5 for e in found)) / max(1.0, many - 3), many / 8]
+        return [math.log1p(sum(found[:8])), found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(sum(e > 2.5 for e in found))]
 
     def score(self, text: str) -> float:
         z = float(self.weights[0] + np.dot(self.weights[1:], self.collect(text)))
@@ -183,9 +182,9 @@ def evidence_of(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
     """Newton's method; x without the constant."""
-    a = np.hstack([np.ones((len(x), 1)), x]) if len(x) else np.zeros((0, 6))
+    a = np.hstack([np.ones((len(x), 1)), x]) if len(x) else np.zeros((0, 5))
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(a.shape[1])
     penalty[0, 0] = 1e-3
@@ -249,9 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             xs = [partial.value.collect(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(xs, pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.where("fold = 4").select("y", "text").mapInArrow(collect, "y int, x array<double>").collect()  # at most TRAIN_ROWS rows of five numbers
-    x, y = np.array([r.x for r in got]).reshape(-1, 5), np.array([r.y for r in got], float)
-    model.weights = logistic(x, y) if len(got) else np.array([-3.0, 1.0, 1.0, 0.0, 0.0, 0.0])
+    got = rows.where("fold = 4").select("y", "text").mapInArrow(collect, "y int, x array<double>").collect()  # at most TRAIN_ROWS rows of four numbers
+    x, y = np.array([r.x for r in got]).reshape(-1, 4), np.array([r.y for r in got], float)
+    model.weights = logistic(x, y) if len(got) else np.array([-3.0, 1.0, 1.0, 0.0, 0.0])
     return model
 
 
