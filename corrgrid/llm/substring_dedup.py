@@ -26,9 +26,9 @@ BLOCK_BITS = 20
 #: Odd multipliers of the sketch's rows.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows per group of pass two, on average; each takes about 30 bytes there.
-GROUP_WINDOWS = 2_000_000
+GROUP_WINDOWS = 1_000_000
 #: Bytes of text hashed at a time, and estimated-repeated windows held before they are sent.
-CHUNK_BYTES, HELD_WINDOWS = 8 << 20, 3_000_000
+CHUNK_BYTES, HELD_WINDOWS = 2 << 20, 1_500_000
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
