@@ -27,6 +27,9 @@ BLOCK_BITS = 20
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows per group of pass two, on average; each takes about 30 bytes there.
 GROUP_WINDOWS = 1_000_000
+#: Groups at least: a document's windows meet so many groups at any size of input, so the number of
+#: mask rows follows the number of documents.
+LEAST_GROUPS = 64
 #: Bytes of text hashed at a time, and estimated-repeated windows held before they are sent.
 CHUNK_BYTES, HELD_WINDOWS = 2 << 20, 1_500_000
 NO_ID = (1 << 63) - 1
@@ -315,7 +318,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     bits = int(min(sketch_bits, max(16, np.ceil(np.log2(max(1, chars / 6))) + 1)))
     slots = repeated_slots(base, width, bits)
-    groups = int(max(1, chars / 6 / 3 // GROUP_WINDOWS + 1))
+    groups = int(max(LEAST_GROUPS, chars / 6 / 3 // GROUP_WINDOWS + 1))
     sketch = spark.sparkContext.broadcast(slots)
     sent = base.select("key", "th", "raw").mapInArrow(_send_task(width, bits, groups, sketch), "grp int, key long, th long, payload binary")
     settled = sent.groupBy("grp").applyInArrow(_settle, "key long, th long, starts binary")
