@@ -8,6 +8,8 @@ from corrgrid.llm.bpe import encode_digests
 from corrgrid.llm.common import table
 from corrgrid.llm.exact_dedup import exact_dedup
 from corrgrid.llm.mixing import entropy_mix
+from corrgrid.llm.pii import find_pii
+from corrgrid.llm.secrets import secrets
 from corrgrid.llm.simhash import near_dedup
 from corrgrid.llm.substring_dedup import substring_dedup
 from corrgrid.llm.toxicity import toxicity
@@ -17,6 +19,14 @@ def op3_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op5_pii_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,7 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_countmin, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
+QUERIES = {f.__name__: f for f in (op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

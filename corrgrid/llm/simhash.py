@@ -137,7 +137,8 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
     plain = all(t == 0 for _, t in plan)
     probe = index
     if not plain:
-        tables = [classes.select("fp", "node", F.lit(i).alias("part"), F.explode(F.transform(_flips(bits, t), lambda m, b=bits: F.col("fp").bitwiseAND(F.lit(_mask(b)).cast("long")).bitwiseXOR(m))).alias("key")) for i, (bits, t) in enumerate(plan)]
+        variants = lambda bits, t: F.transform(_flips(bits, t), lambda m: F.col("fp").bitwiseAND(F.lit(_mask(bits)).cast("long")).bitwiseXOR(m))
+        tables = [classes.select("fp", "node", F.lit(i).alias("part"), F.explode(variants(bits, t)).alias("key")) for i, (bits, t) in enumerate(plan)]
         probe = tables[0]
         for x in tables[1:]:
             probe = probe.unionByName(x)

@@ -207,7 +207,7 @@ def _send_task(width: int, bits: int, groups: int, sketch):
         cuts = np.flatnonzero(np.diff(settled["key"], prepend=-1, append=-1)) if len(settled) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = keys[settled["key"][a]]
-            out.append((int(k[1] % groups), *k, settled["pos"][a:b].tobytes()))
+            out.append((int((k[0] * 0x9E3779B1 + k[1]) % groups), *k, settled["pos"][a:b].tobytes()))
         open_, group = w[doc == least], group[doc == least]
         order = np.lexsort((open_["pos"], open_["key"], group))
         open_, group = open_[order], group[order]
