@@ -12,9 +12,14 @@ from corrgrid.llm.pii import find_pii
 from corrgrid.llm.secrets import secrets
 from corrgrid.llm.simhash import near_dedup
 from corrgrid.llm.substring_dedup import substring_dedup
+from corrgrid.llm.topk import top_k
 from corrgrid.llm.toxicity import toxicity
 
 
+def op2_topk_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,9 +52,16 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
+QUERIES = {f.__name__: f for f in (op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
 
 ORACLES = {
+    "op2_topk_norm_sorted": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
