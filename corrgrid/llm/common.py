@@ -62,3 +62,13 @@ def word_count(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only for a side whose counted rows stay within the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+#: Ids up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id stands in drops (one column, named like id_col)."""
+    drops = staged(drops)
+    return docs.join(broadcast_if_small(drops, drops.count(), BROADCAST_IDS), id_col, "left_anti")

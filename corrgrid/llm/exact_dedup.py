@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import SPACES, broadcast_if_small, discard, staged, text_or_empty
+from corrgrid.llm.common import SPACES, broadcast_if_small, discard, staged, text_or_empty, without
 
 #: Run files hold a filter on their digests.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true"}
@@ -86,3 +86,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = split.groupBy("digest", "text_sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
     fixed = split.join(again, ["digest", "text_sha"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.lower(F.hex("text_sha")).alias("text_sha256"))
     return out.join(mixed, "digest", "left_anti").drop("digest", "rid").unionByName(fixed)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns."""
+    found = staged(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept", "text_sha256"))
+    rows, ids = found.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    if rows == ids:
+        return without(docs, found.where("not kept").select(id_col), id_col)
+    # Repeated or null ids: an id alone does not name a row, id and text do.
+    kept = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn("_own", F.sha2(normalised(text_or_empty(text_col)), 256))
+    joined = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+    return joined.dropDuplicates([id_col, "_own"]).select(docs.columns)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import discard, staged, text_or_empty, word_count
+from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, discard, staged, text_or_empty, word_count
 
 #: Sources up to this many are broadcast to the histogram (a few dozen bytes each).
 BROADCAST_SOURCES = 50_000
@@ -72,7 +72,8 @@ def _solve(hist: DataFrame, src: DataFrame, cap: int, tolerance: float, steps: i
         discard(last)
         if state.where("not done").isEmpty():
             break
-    return state
+    # Sums of doubles differ in their last digits from run to run; what follows must not.
+    return state.withColumn("lam", F.round("lam", 7))
 
 
 def entropy_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tolerance: float = 1e-4, steps: int = 60) -> DataFrame:
@@ -94,7 +95,7 @@ def entropy_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
     groups = hist.join(dual, "skey").select("skey", "size", "n", "source_size", "target", _rate(cap).alias("rate"))
     above = Window.partitionBy("skey").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(above), F.lit(0.0)))
+    groups = groups.withColumn("before", F.coalesce(F.round(F.sum(F.col("n") * F.col("rate")).over(above), 6), F.lit(0.0)))
     groups = groups.withColumn("m", F.when(F.col("size") == 0, F.col("n")).otherwise(F.floor(F.col("before") + F.col("n") * F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5)))
     groups = staged(groups.withColumn("m", F.least(F.col("m"), F.col("n") * cap)))
     rest = groups.groupBy("skey").agg((F.round(F.first("target")) - F.sum(F.col("m") * F.col("size"))).alias("rest"))
@@ -132,3 +133,15 @@ def entropy_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     final = placed.join(picks, "rid", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
     final = final.join(dual.select("skey", "source_size", "target"), "skey")
     return final.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", F.col("copies").cast("int").alias("copies"))
+
+
+def repeat_copies(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    Ids name rows here; of rows that share an id each is taken as often as the first of them.
+    """
+    copies = entropy_mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    copies = staged(copies.where("_copies <> 1").withColumnRenamed("doc_id", "_id"))
+    joined = docs.join(broadcast_if_small(copies, copies.count(), BROADCAST_IDS), docs[id_col] == F.col("_id"), "left")
+    times = F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias("_n")).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corrgrid.llm.bpe import encode_digests
+from corrgrid.llm.chat import link_tools
 from corrgrid.llm.common import table
 from corrgrid.llm.exact_dedup import exact_dedup
 from corrgrid.llm.mixing import entropy_mix
@@ -16,6 +17,10 @@ from corrgrid.llm.topk import top_k
 from corrgrid.llm.toxicity import toxicity
 
 
+def op1_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tools(table(spark, sf_dir, "conversations")).drop("errors")
+
+
 def op2_topk_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -52,9 +57,14 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
+QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
 
 ORACLES = {
+    # The table holds no tool calls; their linking is tested on fixtures.
+    "op1_chat_tool_linking": """
+        SELECT conv_id, turn, role, turn AS eff_turn, 0 AS level, 0 AS n_calls, 0 AS n_linked, 0 AS n_orphans, 0 AS n_invalid,
+               '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
+        FROM conversations""",
     "op2_topk_norm_sorted": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import staged
+from corrgrid.llm.common import staged, without
 from corrgrid.llm.components import components
 
 BITS = 64
@@ -180,3 +180,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     comp = components(edges)
     named = classes.join(comp, classes.node == comp.node, "left").select("fp", F.coalesce("component", classes.node).alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs whose id is the smallest of their group, with all their columns; null ids stay."""
+    found = near_dedup(docs, id_col=id_col, text_col=text_col, width=width, radius=radius)
+    return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), id_col)

@@ -276,3 +276,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     scored = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), id_col=id_col, text_col=text_col)
     held = F.coalesce(fold("doc_id") == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(x.as_py() or "") < threshold for x in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
