@@ -188,7 +188,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _chunks(batch: pa.RecordBatch, budget: int = 1 << 23) -> Iterator[tuple[int, list[str]]]:
+def _chunks(batch: pa.RecordBatch, budget: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch in runs of bounded length."""
     start, texts, size = 0, [], 0
     for i, x in enumerate(batch.column("text")):

@@ -31,7 +31,9 @@ MAX_ENTRIES, LEAST_EVIDENCE = 200_000, 1.0
 #: Documents of the training fold that must hold an entry.
 LEAST_SUPPORT = 3
 #: Scored tokens each task remembers.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
+#: Tokens whose entries, and entries whose counts, a counting task holds before it starts anew or sends them.
+SEEN_TOKENS, HELD_ENTRIES = 40_000, 300_000
 CLASSES = 28  # boundary, a-z, other letters
 
 #: Letters that a sign may stand for, and the cost of that reading.
@@ -215,6 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
         docs_of, seen = Counter(), {}
+
+        def send(y: int) -> pa.RecordBatch:
+            keys, held = ["", *n[y]], [docs_of.pop(y, 0), *n[y].values()]
+            n[y].clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([y] * len(keys), pa.int32()), pa.array(held, pa.int64())], ["entry", "y", "n"])
+
         for batch in batches:
             for f, y, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if f == 4:
@@ -224,11 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     seen[raw] = [e for w in forms(raw, shared.value) for e in entries(w)]
                 n[y].update({e for raw in own for e in seen[raw]})
                 docs_of[y] += 1
-                if len(seen) > CACHE_TOKENS:
+                if len(seen) > SEEN_TOKENS:
                     seen.clear()
+                if len(n[y]) > HELD_ENTRIES:
+                    yield send(y)
         for y in (0, 1):
-            keys = ["", *n[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([y] * len(keys), pa.int32()), pa.array([docs_of[y], *n[y].values()], pa.int64())], ["entry", "y", "n"])
+            yield send(y)
 
     counts = rows.mapInArrow(count, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("neg"))
     counts = staged(counts.where((F.col("pos") >= LEAST_SUPPORT) | (F.col("entry") == "")))
