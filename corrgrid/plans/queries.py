@@ -222,7 +222,7 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.otsu(pixels(spark, sf_dir), "a")
 
 
-_CDF = ", s AS (SELECT image_id, a AS level, sum(count(*)) OVER (PARTITION BY image_id ORDER BY a)/sum(count(*)) OVER (PARTITION BY image_id) ps FROM px WHERE a IS NOT NULL GROUP BY ALL), t AS (SELECT image_id, b AS \"to\", sum(count(*)) OVER (PARTITION BY image_id ORDER BY b)/sum(count(*)) OVER (PARTITION BY image_id) pt FROM px GROUP BY ALL)"
+_CDF = ", g AS (SELECT image_id, a AS level, count(*) n FROM px WHERE a IS NOT NULL GROUP BY image_id, a), k AS (SELECT image_id, b AS \"to\", count(*) n FROM px GROUP BY image_id, b), s AS (SELECT image_id, level, sum(n) OVER (PARTITION BY image_id ORDER BY level)/sum(n) OVER (PARTITION BY image_id) ps FROM g), t AS (SELECT image_id, \"to\", sum(n) OVER (PARTITION BY image_id ORDER BY \"to\")/sum(n) OVER (PARTITION BY image_id) pt FROM k)"
 
 
 @query("match_histogram", _P + _CDF + " SELECT s.image_id, level, min(\"to\") AS mapped FROM s JOIN t ON s.image_id=t.image_id AND pt>=ps GROUP BY ALL")

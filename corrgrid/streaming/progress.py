@@ -29,4 +29,4 @@ def status(events: DataFrame) -> DataFrame:
 
 def progress_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The same on a stream; the watermark only bounds late events."""
-    return progress(events.withWatermark("ts", delay))
+    return progress(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay))
