@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrgrid.sources.derived import read
@@ -35,6 +37,39 @@ def summary(r: DataFrame) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("total"), F.count_if(good).alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg(F.when(good, F.col("quality_score"))), 4).alias("mean_quality"))
 
 
+def latest(r: DataFrame, key: str, n: int) -> DataFrame:
+    """The n latest runs of each image, ties to the smaller run id."""
+    w = Window.partitionBy(key).orderBy(F.desc("created_at"), "run_id")
+    return r.select(key, "run_id", F.row_number().over(w).alias("place")).where(F.col("place") <= n)
+
+
+def best_by_sensor(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The n best successful runs of each sensor by quality, ties to the smaller run id."""
+    ok = report(spark, sf_dir).select("sensor", "run_id", "status").where("status = 'success'")
+    scored = ok.join(runs(spark, sf_dir).select("run_id", F.col("quality_score").alias("q")), "run_id").where("q is not null")
+    w = Window.partitionBy("sensor").orderBy(F.desc("q"), "run_id")
+    return scored.select("sensor", "run_id", F.row_number().over(w).alias("place")).where(F.col("place") <= n)
+
+
+def winner(a: Column, b: Column, more_is_better: bool) -> Column:
+    """a or b by one metric, ties to a; NULL where either is missing."""
+    return F.when(a >= b if more_is_better else a <= b, "a").when(a < b if more_is_better else a > b, "b")
+
+
+def compare_next(r: DataFrame, key: str, metrics: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Each run (a) beside the next one of its image (b), with the winner per metric."""
+    w = Window.partitionBy(key).orderBy("run_id")
+    cols = {c for c, _ in metrics.values()}
+    both = r.select(F.col("run_id").alias("a"), F.lead("run_id").over(w).alias("b"), *cols, *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
+    return both.where("b is not null").select("a", "b", *[winner(F.col(c), F.col(f"next_{c}"), more).alias(f"{name}_winner") for name, (c, more) in metrics.items()])
+
+
+def pair_with(images: DataFrame, key: str, references: Sequence[int]) -> DataFrame:
+    """Every image with each of a few given references, itself excepted: one run per row."""
+    named = F.explode(F.array(*[F.lit(x).cast("long") for x in references])).alias("reference_id")
+    return images.select(key, named).where(F.col(key) != F.col("reference_id"))
+
+
 def merge(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
     """Upsert: of the rows with one key the latest stays, the new one on ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -1 +1,7 @@
+"""All registered queries and their SQL."""
 
+from corrgrid.plans import imaging, queries  # noqa: F401  (both register)
+from corrgrid.plans.registry import ORACLES as REFERENCE_SQL
+from corrgrid.plans.registry import QUERIES as REFERENCE
+
+__all__ = ["REFERENCE", "REFERENCE_SQL"]

@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgrid.functions import geo
 from corrgrid.operators import catalog, knn, points, raster, spatial
+from corrgrid.plans.registry import query, rounded
 from corrgrid.sources.derived import H_TRUE, MATCHES_SQL, PIXELS_SQL, descriptors, matches, pixels, read
 from corrgrid.streaming import progress as stages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-R = 4  # decimals of compared doubles
-
 _E = """e AS (SELECT *, sqrt(((0.98*x0+ -0.12*y0+14.0)/(2e-5*x0+ -1e-5*y0+1.0)-x1)**2 + ((0.11*x0+1.01*y0+ -7.5)/(2e-5*x0+ -1e-5*y0+1.0)-y1)**2) AS e FROM m)"""
 _KEYS = "confidence DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _CELL = lambda v, n: f"least(greatest(floor({v} * {n} / 1000.0), 0), {n - 1})"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, places: int = R) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # --- points --------------------------------------------------------------------------------------
 @query("residual_report", f"WITH {MATCHES_SQL}, {_E} SELECT pair_id, count(*) AS n, round(sqrt(avg(e*e)),4) AS rmse, round(avg(e),4) AS mean, round(quantile_cont(e,0.5),4) AS median, round(max(e),4) AS max, round(min(e),4) AS min, round(stddev_pop(e),4) AS std, count_if(e<1) AS subpixel, round(count_if(e<3)/count(*),4) AS inlier_ratio FROM e GROUP BY pair_id")
 def residual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +162,7 @@ def gradient_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("weber", _P + ", k AS (SELECT unnest([-1,0,1]) dr), s AS (SELECT image_id, row-x.dr AS row, col-y.dr AS col, sum(a) t FROM px, k x, k y WHERE a IS NOT NULL GROUP BY ALL HAVING count(*)=9) SELECT s.image_id, s.row, s.col, round(atan((t-9*a)/(a+1e-5)),4) AS excitation FROM s JOIN px ON px.image_id=s.image_id AND px.row=s.row AND px.col=s.col WHERE a IS NOT NULL")
 def weber(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).where("a is not null")
-    s = raster.stencil(px, {"t": (F.col("a"), raster.BOX3)}, 9).join(px, list(raster.AT))
+    s = raster.box(px, {"t": F.col("a")}, 1).join(px, list(raster.AT))
     return rounded(s.select(*raster.AT, F.atan((F.col("t") - 9 * F.col("a")) / (F.col("a") + 1e-5)).alias("excitation")))
 
 

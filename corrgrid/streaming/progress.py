@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Weights of the stages of the stand-in events; each distinct stage counts once.
 WEIGHTS = {"signup": 0.15, "view": 0.2, "click": 0.2, "purchase": 0.3, "error": 0.15}
@@ -30,3 +31,24 @@ def status(events: DataFrame) -> DataFrame:
 def progress_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The same on a stream; the watermark only bounds late events."""
     return progress(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay))
+
+
+def feed(events: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every event with its place in its job, from 0; payloads longer than `most` are left out and marked."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    long = F.length("props") > most
+    return events.select("user_id", "event_id", (F.row_number().over(w).cast("long") - 1).alias("cursor"), F.when(~long, F.col("props")).alias("props"), long.alias("elided"))
+
+
+def shares(events: DataFrame) -> DataFrame:
+    """Seconds of each stage of a job and their share of the job's."""
+    g = events.groupBy("user_id", "event_type").agg(F.sum("value").alias("seconds"))
+    total = F.nullif(F.sum("seconds").over(Window.partitionBy("user_id")), F.lit(0.0))
+    return g.select("user_id", "event_type", "seconds", (F.col("seconds") / total).alias("share"))
+
+
+def tail(events: DataFrame, path: str, checkpoint: str, every: str = "300 milliseconds", most: int = 10_000) -> StreamingQuery:
+    """Append a stream of events to a folder as JSON lines, long payloads left out; restarts lose and repeat nothing."""
+    long = F.length("props") > most
+    out = events.select("user_id", "event_id", "ts", "event_type", F.when(~long, F.col("props")).alias("props"), long.alias("elided"))
+    return out.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

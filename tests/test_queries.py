@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corrgrid.plans.queries import ORACLES, QUERIES
+from corrgrid.plans import REFERENCE as QUERIES
+from corrgrid.plans import REFERENCE_SQL as ORACLES
 
 DIR = "/root/testdata/sf0.001"
 
