@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from corrgrid.llm.common import staged
 
-#: Rows of a candidate block and of a query block; a pair of blocks takes a few tens of MB.
-CANDIDATES, QUERIES = 2_048, 1_024
+#: Rows of a candidate block at least and at most, and of a query block; a pair of the largest takes about 300 MB.
+#: Candidates are shuffled once per query block, and each candidate block sends k rows per query: large
+#: blocks keep both small, while a small table is still spread over all cores.
+LEAST_CANDIDATES, MOST_CANDIDATES, QUERIES = 2_048, 32_768, 4_096
 #: Candidates scored between two updates of the k-th scores, and the share of rotated coordinates in the partial sum.
 STEP, HEAD = 512, 4
 
@@ -96,7 +98,7 @@ def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray
         yield int(query), best_i[i][real], best_s[i][real]
 
 
-def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, factor: int = 1024, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, factor: int = 1024, candidates: int | None = None, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (id divisible by `every`) its k greatest inner products.
 
     Components x become floor(factor * x) in integers. Vectors that are null or hold null, NaN or
@@ -111,8 +113,9 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     dim, n_queries = dim or 0, n_queries or 0
     values, axes = np.linalg.eigh(gram(rows, dim)) if dim else (np.zeros(0), np.zeros((0, 0)))
     rotation = np.ascontiguousarray(axes[:, np.argsort(-values)])
-    blocks, query_blocks = max(1, -(-n // candidates)), max(1, -(-n_queries // queries))
-    place = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+    size = candidates or min(max(n // (4 * vectors.sparkSession.sparkContext.defaultParallelism), LEAST_CANDIDATES), MOST_CANDIDATES)
+    blocks, query_blocks = max(1, -(-n // size)), max(1, -(-n_queries // queries))
+    place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     c = rows.select("id", "v", place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block"))
     q = rows.where(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), place(query_blocks).alias("q_block"))
 
