@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrgrid.operators.points import KEY, fit_affine
+from corrgrid.staging import discard, staged
 
 #: Hypotheses per pair; with 40 % outliers the chance that none of 64 is clean is below 1e-3.
 HYPOTHESES = 64
@@ -112,9 +113,13 @@ def project_by(h: str, x: Column, y: Column) -> tuple[Column, Column]:
     return (at[0] * x + at[1] * y + at[2]) / w, (at[3] * x + at[4] * y + at[5]) / w
 
 
-def error_by(h: str) -> Column:
-    px, py = project_by(h, F.col("x0"), F.col("y0"))
-    return F.sqrt((px - F.col("x1")) * (px - F.col("x1")) + (py - F.col("y1")) * (py - F.col("y1")))
+def within(h: str, threshold: float) -> Column:
+    """Whether the projection error is below the threshold, without dividing: scoring runs it very often."""
+    at = [F.col(h)[i] for i in range(9)]
+    w = at[6] * F.col("x0") + at[7] * F.col("y0") + at[8]
+    dx = at[0] * F.col("x0") + at[1] * F.col("y0") + at[2] - F.col("x1") * w
+    dy = at[3] * F.col("x0") + at[4] * F.col("y0") + at[5] - F.col("y1") * w
+    return (F.pow(dx, 2) + F.pow(dy, 2) < F.pow(threshold * w, 2)) & (F.abs(w) >= 1e-12)
 
 
 def _solve_four(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +150,20 @@ def robust_homography(m: DataFrame, *, key: Sequence[str] = KEY, threshold: floa
 
     Status is success, insufficient_matches (fewer than `least` inliers) or error (no usable
     hypothesis); pairs never fail the job. Each point meets `n` matrices of its pair, and only counts
-    are shuffled.
+    are shuffled. Hypotheses and fits, one small table each, are staged so that no round repeats them.
     """
-    hyps = hypotheses(m, key, n, seed)
-    scored = m.join(hyps, "pair_id").where(error_by("h") < threshold).groupBy("pair_id", "hyp").agg(F.count(F.lit(1)).alias("votes"))
+    hyps = staged(hypotheses(m, key, n, seed))
+    at = m.select("pair_id", "x0", "y0", "x1", "y1")
+    scored = at.join(hyps, "pair_id").where(within("h", threshold)).groupBy("pair_id", "hyp").agg(F.count(F.lit(1)).alias("votes"))
     best = scored.groupBy("pair_id").agg(F.max(F.struct("votes", (-F.col("hyp")).alias("hyp"))).alias("b")).select("pair_id", (-F.col("b.hyp")).alias("hyp"))
-    fit = best.join(hyps, ["pair_id", "hyp"]).select("pair_id", "h")
+    fit = staged(best.join(hyps, ["pair_id", "hyp"]).select("pair_id", "h"))
     for _ in range(rounds):
-        near = m.join(fit, "pair_id").where(error_by("h") < threshold)
+        near = at.join(fit, "pair_id").where(within("h", threshold))
         again = fit_homography(near.drop("h")).select("pair_id", F.col("h").alias("refit"))
-        fit = fit.join(again, "pair_id", "left").select("pair_id", F.coalesce("refit", "h").alias("h"))
-    final = m.join(fit, "pair_id", "left").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(error_by("h") < threshold).alias("inliers"), F.first("h").alias("h"))
+        last, fit = fit, staged(fit.join(again, "pair_id", "left").select("pair_id", F.coalesce("refit", "h").alias("h")))
+        discard(last)
+    discard(hyps)
+    final = at.join(fit, "pair_id", "left").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(within("h", threshold)).alias("inliers"), F.first("h").alias("h"))
     status = F.when(F.col("h").isNull(), "error").when(F.col("inliers") < least, "insufficient_matches").otherwise("success")
     return final.select("pair_id", "n", "inliers", "h", status.alias("status"))
 
