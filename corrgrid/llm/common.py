@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrgrid.staging import discard, shared_dir, staged  # noqa: F401  (shared by the operators)
+
 #: Fixed values of the corpus contracts: separators and words, by ASCII white space only.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,39 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a local master gets a temporary one; a cluster must name it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corrgrid-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def staged(df: DataFrame, *, options: dict[str, str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, its lineage is cut,
-    and what a lost executor had is read again instead of computed again."""
-    path = f"{shared_dir(df.sparkSession)}/corrgrid-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
