@@ -1,17 +1,17 @@
 """Personal data with information-theoretic sanitisation (native).
 
-Base spans come from four patterns. They are the protected entities. A term near an entity reveals
-it as far as seeing the term narrows the entity down: pointwise mutual information over the
+Base spans come from four patterns. They are the protected entities. A term in a document with an
+entity reveals it as far as seeing the term narrows the entity down: pointwise mutual information over the
 entity's own information, log2(P(e|t) / P(e)) / -log2 P(e), with document counts over the whole
 corpus. Terms above the disclosure threshold become spans of kind term and are generalised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import SPACES, staged, text_or_empty
+from corrgrid.llm.common import BROADCAST_IDS, SPACES, broadcast_if_small, staged, text_or_empty
 from corrgrid.llm.spans import joined, kind_spans, matches
 
 #: The base patterns in listed order. A match may start only where the run of its first
@@ -22,9 +22,10 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on either side of an entity in which terms are weighed, documents that must hold both
-#: term and entity, and the share of the entity's information that a term may disclose.
-CONTEXT, LEAST_SUPPORT, DISCLOSURE = 80, 3, 0.9
+#: A term, the documents with the term and without the entity that are assumed unseen (they smooth rare
+#: counts), and the share of the entity's information that a term may disclose.
+WORDS = r"[\p{L}\p{N}]++"
+UNSEEN, DISCLOSURE = 1, 0.9
 
 
 def _digits(x: Column) -> Column:
@@ -51,28 +52,38 @@ def find_entities(text: Column) -> dict[str, Column]:
     }
 
 
-def _words_at(text: Column, offset: Column) -> Column:
-    """Words of a piece of text with their code point offsets in the whole text."""
-    return F.transform(matches(text, r"[\p{L}\p{N}]++"), lambda x: F.struct(F.lower(x["text"]).alias("term"), (x["start"] + offset).alias("start"), (x["end"] + offset).alias("end")))
+def occurrences(rows: DataFrame) -> DataFrame:
+    """rid, term, start, end of every word of three or more letters or digits outside all entities of its text (rid, t, every)."""
+    zipped = F.arrays_zip(F.split("t", WORDS, -1).alias("gap"), F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)).alias("m"))
+    pieces = rows.select("rid", F.posexplode(zipped).alias("pos", "x")).select("rid", "pos", F.length("x.gap").alias("skip"), F.col("x.m").alias("m")).where("m is not null")
+    upto = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = pieces.withColumn("end", F.sum(F.col("skip") + F.length("m")).over(upto).cast("int")).where(F.length("m") >= 3)
+    words = ends.select("rid", F.lower("m").alias("term"), (F.col("end") - F.length("m")).alias("start"), "end")
+    spans = rows.where(F.size("every") > 0).select("rid", F.transform("every", lambda y: F.struct(y["start"].alias("s"), y["end"].alias("e"))).alias("spans"))
+    apart = F.coalesce(~F.exists("spans", lambda y: (F.col("start") < y["e"]) & (y["s"] < F.col("end"))), F.lit(True))
+    return words.join(spans, "rid", "left").where(apart).drop("spans")
 
 
-def disclosing(rows: DataFrame, docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
-    """rid, term spans: the terms near entities that disclose them, by counts over the whole corpus."""
-    around = rows.select("rid", F.explode("context").alias("c")).select("rid", F.col("c.entity").alias("entity"), F.inline("c.words")).where(F.length("term") >= 3)
-    pairs = around.groupBy("entity", "term").agg(F.countDistinct("rid").alias("both")).where(F.col("both") >= support)
-    pairs = staged(pairs)
+def disclosing(rows: DataFrame, threshold: float) -> DataFrame:
+    """rid, term spans: every occurrence of the terms that disclose an entity, by counts over the whole corpus."""
+    held = rows.where(F.size("every") > 0).select("rid", F.explode("entities").alias("entity"))
+    near = occurrences(rows.where(F.size("every") > 0)).select("rid", "term").distinct()
+    pairs = staged(near.join(held, "rid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
     if pairs.isEmpty():
         return rows.where("false").select("rid", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("terms"))
-    # Document frequency of every term of every text; only the few that stand near entities are joined.
-    lowered = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}]+", " "))
-    terms = docs.select(F.explode(F.array_distinct(F.split(lowered, " "))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    held = rows.select("rid", F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    # Document frequency of every term of every text.
+    each = rows.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)), F.lower))).alias("term")).where(F.length("term") >= 3)
+    terms = each.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    stats = pairs.join(terms, "term").join(held, "entity").join(F.broadcast(n))
+    stats = pairs.join(terms, "term").join(counts, "entity").join(F.broadcast(n))
     info = -F.log2(F.col("with_entity") / F.col("n"))
-    pmi = F.log2((F.col("both") / F.least(F.greatest("with_term", "both"), "n")) / (F.col("with_entity") / F.col("n")))
-    strong = stats.where((info > 0) & (pmi / info >= threshold)).select("entity", "term")
-    spans = around.join(strong, ["entity", "term"]).select("rid", F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind")).alias("s"))
+    pmi = F.log2((F.col("both") / (F.greatest("with_term", "both") + UNSEEN)) / (F.col("with_entity") / F.col("n")))
+    strong = staged(stats.where((info > 0) & (pmi / info >= threshold)).select("term").distinct())
+    strong = broadcast_if_small(strong, strong.count(), BROADCAST_IDS)
+    holders = staged(each.join(strong, "term").select("rid").distinct())
+    again = rows.join(broadcast_if_small(holders, holders.count(), BROADCAST_IDS), "rid", "left_semi")
+    spans = occurrences(again).join(strong, "term").select("rid", F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind")).alias("s"))
     return spans.groupBy("rid").agg(F.collect_set("s").alias("terms"))
 
 
@@ -83,27 +94,24 @@ def generalise(text: Column, spans: Column) -> Column:
     return F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, support: int = LEAST_SUPPORT, threshold: float = DISCLOSURE, with_text: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = DISCLOSURE, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and sanitised).
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. A term is one word of
-    three or more letters or digits within `context` characters of an entity, outside all entities.
+    three or more letters or digits, outside all entities; every document of the corpus that holds a
+    disclosing term gets its spans.
     Repeated rows are scanned and counted each, and a null doc_id is kept; empty tables give no rows;
     further columns are ignored.
     """
     text = text_or_empty(text_col)
-    kept = [text.alias("whole")] if with_text else []
-    found = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text.alias("t"), *kept, *[c.alias(k) for k, c in find_entities(text).items()])
+    found = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text.alias("t"), *[c.alias(k) for k, c in find_entities(text).items()])
     every = F.concat(*KINDS)
-    before = lambda x: F.greatest(x["start"] - context, F.lit(0))
-    words = lambda x: F.concat(_words_at(F.substring("t", before(x) + 1, x["start"] - before(x)), before(x)), _words_at(F.substring("t", x["end"] + 1, F.lit(context)), x["end"]))
-    outside = lambda w: ~F.exists(every, lambda y: (w["start"] < y["end"]) & (y["start"] < w["end"]))
-    near = F.transform(every, lambda x: F.struct(F.lower(F.regexp_replace(x["text"], SPACES, "")).alias("entity"), F.filter(words(x), outside).alias("words")))
-    rows = staged(found.select("doc_id", "rid", *(["whole"] if with_text else []), *KINDS, near.alias("context")))
+    entities = F.array_distinct(F.transform(every, lambda x: F.lower(F.regexp_replace(x["text"], SPACES, ""))))
+    rows = staged(found.select("*", every.alias("every"), entities.alias("entities")))
     base = [kind_spans(F.col(k), i, k) for i, k in enumerate(KINDS)]
-    terms = disclosing(rows, docs, text_col, support, threshold)
+    terms = disclosing(rows, threshold)
     out = rows.join(terms, "rid", "left")
     spans = F.concat(*base, F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
-    more = [generalise(F.col("whole"), spans).alias("sanitised")] if with_text else []
+    more = [generalise(F.col("t"), spans).alias("sanitised")] if with_text else []
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), *more)
