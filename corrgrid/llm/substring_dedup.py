@@ -2,36 +2,41 @@
 
 Pass one: each task adds the hashes of its word windows to a saturating count-min sketch; the
 partition sketches are merged slot block by slot block. Counts are overestimated, so a window that
-occurs twice is never estimated to occur once. Pass two groups, exactly and by a 96-bit digest, only
-windows estimated repeated. A task resolves what it can by itself first: of the documents in which
-it sees a window only the smallest is sent on, so a passage that very many documents share reaches
-a group once per task. The sketch is bounded (SKETCH_BITS); beyond that more windows pass the
-prefilter, with the same result.
+occurs twice is never estimated to occur once; its vectorised hashes only choose slots, so their
+collisions let windows pass and decide nothing. Pass two groups only windows estimated repeated, by a
+128-bit BLAKE2b digest of their words. A task resolves what it can by itself first: of the documents
+in which it sees a window only the smallest is sent on, so a passage that very many documents share
+reaches a group once per task. A window's group follows from its least five-word hash, which
+neighbouring windows share, so a document's passage meets few groups. The sketch is bounded
+(SKETCH_BITS); beyond that more windows pass the prefilter, with the same result. Texts are shuffled
+only where words go.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrgrid.llm.common import BROADCAST_IDS, staged
+
 #: Each of the sketch's rows has at most 2 ** SKETCH_BITS slots (32 MB as bits).
 SKETCH_BITS = 28
 #: Slots per block that is merged and sent as one.
 BLOCK_BITS = 20
 #: Odd multipliers of the sketch's rows.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Windows per group of pass two, on average; each takes about 30 bytes there.
-GROUP_WINDOWS = 1_000_000
-#: Groups at least: a document's windows meet so many groups at any size of input, so the number of
-#: mask rows follows the number of documents.
-LEAST_GROUPS = 64
+#: Windows per group of pass two, on average; each takes about 40 bytes there.
+GROUP_WINDOWS, LEAST_GROUPS = 600_000, 64
+#: Words whose hashes choose a window's group.
+ANCHOR = 5
 #: Bytes of text hashed at a time, and estimated-repeated windows held before they are sent.
-CHUNK_BYTES, HELD_WINDOWS = 2 << 20, 1_500_000
+CHUNK_BYTES, HELD_WINDOWS = 2 << 20, 1_000_000
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -56,17 +61,17 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit polynomial hash of every word of a text, the same wherever the word stands."""
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit polynomial hash of every word of a text, the same wherever the word stands, and where words start and end."""
     b = np.frombuffer(raw, np.uint8)
     if not len(b):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[b]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _powers(len(b) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * down[: len(b)])])
-    return _mix((sums[ends] - sums[starts]) * up[ends], 0xD6E8FEB86659FD93)
+    return _mix((sums[ends] - sums[starts]) * up[ends], 0xD6E8FEB86659FD93), starts, ends
 
 
 def _windows(h: np.ndarray, width: int, by: int) -> np.ndarray:
@@ -79,13 +84,37 @@ def _windows(h: np.ndarray, width: int, by: int) -> np.ndarray:
     return _mix(acc, 0xFF51AFD7ED558CCD)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a chunk, word hashes of all their texts, each row's number of words, and the window starts inside one row."""
+def _anchors(h: np.ndarray, width: int) -> np.ndarray:
+    """Of every window the least hash of ANCHOR words in a row."""
+    part = min(ANCHOR, width)
+    grams = _windows(h, part, ROWS[1])
+    n = max(len(h) - width + 1, 0)
+    least = grams[:n].copy()
+    for j in range(1, width - part + 1):
+        np.minimum(least, grams[j : j + n], out=least)
+    return least
+
+
+@dataclass
+class _Chunk:
+    """Some rows (ids..., text): their words joined by spaces, word hashes, words per row and window starts inside one row."""
+
+    rows: list[tuple]
+    joined: bytes
+    h: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    inside: np.ndarray
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Chunk]:
     rows, size = [], 0
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rows.append(row)
-            size += len(row[-1]) + 1
+        for row in zip(*batch.columns, strict=True):
+            *ids, raw = (x.as_py() for x in row)
+            rows.append((*ids, raw))
+            size += len(raw) + 1
             if size >= CHUNK_BYTES:
                 yield _chunk(rows, width)
                 rows, size = [], 0
@@ -93,20 +122,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[lis
         yield _chunk(rows, width)
 
 
-def _chunk(rows: list[tuple], width: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
-    joined = b" ".join([r[-1] for r in rows])
-    h = word_hashes(joined)
+def _chunk(rows: list[tuple], width: int) -> _Chunk:
+    texts = [b" ".join(r[-1].split()) for r in rows]
+    joined = b" ".join(texts)
+    h, starts, ends = word_hashes(joined)
     # A row's words are the word starts that lie within its bytes.
-    b = np.frombuffer(joined, np.uint8)
-    space = _SPACE[b]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(b) else np.zeros(0, np.int64)
-    lengths = np.array([len(r[-1]) for r in rows], np.int64)
-    last = np.cumsum(lengths + 1)
-    upto = np.searchsorted(starts, last)
+    upto = np.searchsorted(starts, np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)))
     words = np.diff(np.concatenate([[0], upto]))
-    ends = np.repeat(upto, words)
-    inside = np.flatnonzero(np.arange(len(h)) + width <= ends)
-    return rows, h, words, inside
+    inside = np.flatnonzero(np.arange(len(h)) + width <= np.repeat(upto, words))
+    return _Chunk([r[:-1] for r in rows], joined, h, starts, ends, words, inside)
+
+
+def _digests(c: _Chunk, at: np.ndarray, width: int) -> np.ndarray:
+    """Two 64-bit halves of the BLAKE2b digest of each window's words."""
+    joined, blake = c.joined, hashlib.blake2b
+    raw = b"".join([blake(joined[a:b], digest_size=16).digest() for a, b in zip(c.starts[at].tolist(), c.ends[at + (width - 1)].tolist(), strict=True)])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
 def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -143,10 +174,10 @@ def _sketch_task(width: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for _, h, _, inside in _chunks(batches, width):
-            held.append(_windows(h, width, ROWS[0])[inside])
-            n += len(inside)
-            if n >= 2 * HELD_WINDOWS:
+        for c in _chunks(batches, width):
+            held.append(_windows(c.h, width, ROWS[0])[c.inside])
+            n += len(c.inside)
+            if n >= 3 * HELD_WINDOWS:
                 yield from flush(held)
                 held, n = [], 0
         if n:
@@ -187,7 +218,7 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("key", "<u4"), ("pos", "<u4")])
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("key", "<u4"), ("pos", "<u4"), ("grp", "<u4")])
 
 
 def _send_task(width: int, bits: int, groups: int, sketch):
@@ -200,7 +231,6 @@ def _send_task(width: int, bits: int, groups: int, sketch):
         new = np.concatenate([[True], (w["h1"][1:] != w["h1"][:-1]) | (w["h2"][1:] != w["h2"][:-1])])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         out: list[tuple] = []
-        group = ((w["h1"] * _U(0x94D049BB133111EB)) >> _U(33)) % _U(groups)
         # Later documents of a window are settled here; they pass through any group.
         settled = w[doc > least]
         settled = settled[np.lexsort((settled["pos"], settled["key"]))]
@@ -208,10 +238,9 @@ def _send_task(width: int, bits: int, groups: int, sketch):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = keys[settled["key"][a]]
             out.append((int((k[0] * 0x9E3779B1 + k[1]) % groups), *k, settled["pos"][a:b].tobytes()))
-        open_, group = w[doc == least], group[doc == least]
-        order = np.lexsort((open_["pos"], open_["key"], group))
-        open_, group = open_[order], group[order]
-        cuts = np.searchsorted(group, np.arange(groups + 1).astype(np.uint64))
+        open_ = w[doc == least]
+        open_ = open_[np.lexsort((open_["pos"], open_["key"], open_["grp"]))]
+        cuts = np.searchsorted(open_["grp"], np.arange(groups + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             x = open_[cuts[g] : cuts[g + 1]]
             used, n = np.unique(x["key"], return_counts=True)
@@ -224,18 +253,17 @@ def _send_task(width: int, bits: int, groups: int, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, n, rows_bits = [], [], 0, sketch.value
-        for rows, h, words, inside in _chunks(batches, width):
-            h1 = _windows(h, width, ROWS[0])[inside]
+        for c in _chunks(batches, width):
+            h1 = _windows(c.h, width, ROWS[0])[c.inside]
             keep = np.ones(len(h1), bool)
             for b, at in zip(rows_bits, _slots(h1, bits), strict=True):
                 keep &= _has(b, at)
-            at = inside[keep]
-            w = np.zeros(len(at), _WINDOW)
-            w["h1"], w["h2"] = h1[keep], (_windows(_mix(h, 0xA0761D6478BD642F), width, ROWS[1])[at] >> _U(32))
-            first = np.cumsum(words) - words
-            row = np.repeat(np.arange(len(rows)), words)[at]
-            w["key"], w["pos"] = row + len(keys), at - first[row]
-            keys += [(r[0], r[1]) for r in rows]
+            at = c.inside[keep]
+            w, digest = np.zeros(len(at), _WINDOW), _digests(c, at, width)
+            w["h1"], w["h2"], w["grp"] = digest[:, 0], digest[:, 1], (_anchors(c.h, width)[at] >> _U(20)) % _U(groups)
+            row = np.repeat(np.arange(len(c.rows)), c.words)[at]
+            w["key"], w["pos"] = row + len(keys), at - (np.cumsum(c.words) - c.words)[row]
+            keys += c.rows
             held.append(w)
             n += len(w)
             if n >= HELD_WINDOWS:
@@ -259,8 +287,8 @@ def _settle(table: pa.Table) -> pa.Table:
         at = 16 + 16 * k
         counts = _unplanes(payload[at : at + 4 * k])
         at += 4 * k
-        h1, h2 = np.frombuffer(payload, "<u8", n, at), np.frombuffer(payload, "<u4", n, at + 8 * n)
-        parts.append((own, counts, h1, h2, _unplanes(payload[at + 12 * n :])))
+        h1, h2 = np.frombuffer(payload, "<u8", n, at), np.frombuffer(payload, "<u8", n, at + 8 * n)
+        parts.append((own, counts, h1, h2, _unplanes(payload[at + 16 * n :])))
     if parts:
         own = np.concatenate([p[0] for p in parts])
         index = np.repeat(np.arange(len(own)), np.concatenate([p[1] for p in parts]))
@@ -322,6 +350,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(slots)
     sent = base.select("key", "th", "raw").mapInArrow(_send_task(width, bits, groups, sketch), "grp int, key long, th long, payload binary")
     settled = sent.groupBy("grp").applyInArrow(_settle, "key long, th long, starts binary")
-    masks = settled.groupBy("key", "th").agg(F.collect_list("starts").alias("lists"))
-    joined = base.join(masks, ["key", "th"], "left").select("doc_id", "raw", "lists")
-    return joined.mapInArrow(_finish_task(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    masks = staged(settled.groupBy("key", "th").agg(F.collect_list("starts").alias("lists")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    finish = lambda rows: rows.select("doc_id", "raw", "lists").mapInArrow(_finish_task(width, with_text), schema)
+    if masks.count() > BROADCAST_IDS:
+        return finish(base.join(masks, ["key", "th"], "left"))
+    # Only texts that lose words meet their masks in a shuffle; the others are finished where they are read.
+    ids = F.broadcast(masks.select("key", "th"))
+    whole = base.join(ids, ["key", "th"], "left_anti").withColumn("lists", F.lit(None).cast("array<binary>"))
+    return finish(whole).unionByName(finish(base.join(ids, ["key", "th"], "left_semi").join(masks, ["key", "th"])))
