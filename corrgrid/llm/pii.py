@@ -59,27 +59,44 @@ def occurrences(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = pieces.withColumn("end", F.sum(F.col("skip") + F.length("m")).over(upto).cast("int")).where(F.length("m") >= 3)
     words = ends.select("rid", F.lower("m").alias("term"), (F.col("end") - F.length("m")).alias("start"), "end")
-    spans = rows.where(F.size("every") > 0).select("rid", F.transform("every", lambda y: F.struct(y["start"].alias("s"), y["end"].alias("e"))).alias("spans"))
-    apart = F.coalesce(~F.exists("spans", lambda y: (F.col("start") < y["e"]) & (y["s"] < F.col("end"))), F.lit(True))
-    return words.join(spans, "rid", "left").where(apart).drop("spans")
+    # One sweep along each text: a word overlaps an entity if the furthest end of those that start before the word's end lies behind its start.
+    spans = rows.select("rid", F.inline("every")).select("rid", F.col("start").alias("at"), F.lit(1).alias("span"), F.lit(None).cast("string").alias("term"), "start", "end")
+    events = words.select("rid", F.col("end").alias("at"), F.lit(0).alias("span"), "term", "start", "end").unionByName(spans)
+    sofar = Window.partitionBy("rid").orderBy("at", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("span") == 1, F.col("end"))).over(sofar)
+    return events.withColumn("reach", reach).where((F.col("span") == 0) & F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).select("rid", "term", "start", "end")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """rid, class, with_entity: entities that the same documents hold count alike, so they are one class."""
+    held = rows.select("rid", F.explode("entities").alias("entity"))
+    sign = F.struct(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    signs = held.groupBy("entity").agg(sign.alias("class"))
+    return held.join(signs, "entity").select("rid", "class").distinct().withColumn("with_entity", F.col("class.k"))
 
 
 def disclosing(rows: DataFrame, threshold: float) -> DataFrame:
-    """rid, term spans: every occurrence of the terms that disclose an entity, by counts over the whole corpus."""
-    held = rows.where(F.size("every") > 0).select("rid", F.explode("entities").alias("entity"))
-    near = occurrences(rows.where(F.size("every") > 0)).select("rid", "term").distinct()
-    pairs = staged(near.join(held, "rid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
-    if pairs.isEmpty():
-        return rows.where("false").select("rid", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("terms"))
+    """rid, term spans: every occurrence of the terms that disclose an entity, by counts over the whole corpus.
+
+    A pair of a term and an entity passes if both / (with_term + UNSEEN) >= (with_entity / n) ** (1 - threshold).
+    As both <= with_entity, an entity can be disclosed only by terms with a bounded count: others never become pairs.
+    """
+    none = rows.where("false").select("rid", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("terms"))
+    own = rows.where(F.size("every") > 0)
+    n = rows.count()
+    held = staged(classes(own))
+    if held.isEmpty():
+        return none
+    held = held.withColumn("most", F.col("with_entity") * F.pow(n / F.col("with_entity"), 1 - threshold) * (1 + 1e-9) - UNSEEN)
     # Document frequency of every term of every text.
     each = rows.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)), F.lower))).alias("term")).where(F.length("term") >= 3)
     terms = each.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    stats = pairs.join(terms, "term").join(counts, "entity").join(F.broadcast(n))
-    info = -F.log2(F.col("with_entity") / F.col("n"))
-    pmi = F.log2((F.col("both") / (F.greatest("with_term", "both") + UNSEEN)) / (F.col("with_entity") / F.col("n")))
-    strong = staged(stats.where((info > 0) & (pmi / info >= threshold)).select("term").distinct())
+    near = occurrences(own).select("rid", "term").distinct().join(held.groupBy("rid").agg(F.max("most").alias("highest")), "rid")
+    rare = near.join(terms, "term").where(F.col("with_term") <= F.col("highest")).select("rid", "term", "with_term")
+    pairs = rare.join(held, "rid").where(F.col("with_term") <= F.col("most")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
+    info = -F.log2(F.col("with_entity") / n)
+    pmi = F.log2((F.col("both") / (F.greatest("with_term", "both") + UNSEEN)) / (F.col("with_entity") / n))
+    strong = staged(pairs.where((info > 0) & (pmi / info >= threshold)).select("term").distinct())
     strong = broadcast_if_small(strong, strong.count(), BROADCAST_IDS)
     holders = staged(each.join(strong, "term").select("rid").distinct())
     again = rows.join(broadcast_if_small(holders, holders.count(), BROADCAST_IDS), "rid", "left_semi")
