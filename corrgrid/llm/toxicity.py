@@ -4,8 +4,8 @@
 2. Tokens that look disguised (leetspeak, separators inside, stretched letters, letters spaced apart)
    become lattices of possible letters; Viterbi decoding under the character model restores them.
 3. Evidence per word and word prefix comes from labelled rows: the lower confidence bound of the
-   log odds ratio of documents that hold it. One fold of the labelled rows gives the evidence,
-   another fits a small logistic regression on what restored texts collect.
+   log odds ratio of distinct texts that hold it. A small logistic regression is fitted on what
+   restored texts collect from the evidence of the other folds (cross-fitting); scores use all folds'.
 4. Each task scores its documents with the broadcast model; nothing but counts is shuffled.
 """
 
@@ -14,12 +14,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgrid.llm.common import staged
@@ -30,11 +30,13 @@ TRAIN_ROWS = 20_000
 MAX_ENTRIES, LEAST_EVIDENCE = 200_000, 1.0
 #: Documents of the training fold that must hold an entry.
 LEAST_SUPPORT = 3
-#: Scored tokens each task remembers.
-CACHE_TOKENS = 150_000
+#: Scored tokens each task remembers, and the longest of them in bytes (longer ones are scored each time).
+CACHE_TOKENS, CACHE_BYTES = 100_000, 64
 #: Tokens whose entries, and entries whose counts, a counting task holds before it starts anew or sends them.
 SEEN_TOKENS, HELD_ENTRIES = 40_000, 300_000
 CLASSES = 28  # boundary, a-z, other letters
+#: Folds of labelled rows besides the held-out one, and the numbers that a text collects.
+FOLDS, FEATURES = (1, 2, 3, 4), 5
 
 #: Letters that a sign may stand for, and the cost of that reading.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -97,22 +99,30 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(token: str, lm: list[list[list[float]]]) -> str:
-    """The cheapest reading of a token under the character model."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading of a token under the character model; linear in its length.
+
+    A state is the last two classes; it holds its score and its letters as (earlier letters, letter).
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (s, word) in states.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (s, path) in states.items():
             for c, cost in readings:
                 to, gain = ((b, k := _class(c)), lm[a][b][k] - cost) if c else ((a, b), -cost)
                 if to not in step or step[to][0] < s + gain:
-                    step[to] = (s + gain, word + c)
+                    step[to] = (s + gain, (path, c) if c else path)
         states = step
-    return max((s + lm[a][b][0], word) for (a, b), (s, word) in states.items())[1]
+    path = max(((s + lm[a][b][0], path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def restore(token: str, lm: list[list[list[float]]]) -> str:
-    """A disguised token's restored form; other tokens stay as they are. Very long tokens hold data, not words."""
-    if len(token) > 40 or not _DISGUISED.search(token) or not _LETTER.search(token):
+    """A disguised token's restored form, at any length; other tokens stay as they are."""
+    if not _DISGUISED.search(token) or not _LETTER.search(token):
         return token
     return viterbi(token, lm) or token
 
@@ -146,7 +156,7 @@ def forms(token: bytes, lm: list[list[list[float]]]) -> list[str]:
 class Model:
     lm: list = field(default_factory=list)
     evidence: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     cache: dict[bytes, float] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -156,15 +166,21 @@ class Model:
         get = self.evidence.get
         return max((get(e, 0.0) for w in forms(raw, self.lm) for e in entries(w)), default=0.0)
 
+    def cached(self, raw: bytes) -> float:
+        found = self.cache.get(raw)
+        if found is None:
+            found = self.token(raw)
+            if len(raw) <= CACHE_BYTES:
+                self.cache[raw] = found
+        return found
+
     def collect(self, text: str) -> list[float]:
-        """What a restored text collects: total evidence over distinct words, strongest, second, words with evidence."""
+        """What a restored text collects: total evidence over distinct words, strongest, second, words with evidence, words."""
         if len(self.cache) > CACHE_TOKENS:
             self.cache.clear()
-        cache, own = self.cache, set(tokens(text))
-        for raw in [t for t in own if t not in cache]:
-            cache[raw] = self.token(raw)
-        found = sorted([e for e in map(cache.__getitem__, own) if e > 0], reverse=True)
-        return [math.log1p(sum(found[:8])), found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(sum(e > 2.5 for e in found))]
+        own = set(tokens(text))
+        found = sorted([e for e in map(self.cached, own) if e > 0], reverse=True)
+        return [math.log1p(sum(found)), found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(sum(e > 2.5 for e in found)), math.log1p(len(own))]
 
     def score(self, text: str) -> float:
         z = float(self.weights[0] + np.dot(self.weights[1:], self.collect(text)))
@@ -186,7 +202,7 @@ def evidence_of(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
     """Newton's method; x without the constant."""
-    a = np.hstack([np.ones((len(x), 1)), x]) if len(x) else np.zeros((0, 5))
+    a = np.hstack([np.ones((len(x), 1)), x]) if len(x) else np.zeros((0, FEATURES + 1))
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(a.shape[1])
     penalty[0, 0] = 1e-3
@@ -204,74 +220,83 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows of folds 1 to 4: evidence from 1 to 3, the regression from 4."""
+    """Fit on labelled rows of folds 1 to 4; of rows that share a text one counts, with the greatest label."""
     spark = docs.sparkSession
     lm = char_model(docs, text_col).tolist()
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"), fold(id_col).alias("fold"))
     known = known.where("fold <> 0").groupBy("label_id", "fold").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(known), docs[id_col] == F.col("label_id")).select("fold", "y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = staged(rows)
+    texts = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = staged(texts.join(F.broadcast(known), F.col("own_id") == F.col("label_id")).groupBy("text").agg(F.min("fold").alias("fold"), F.max("y").alias("y")))
     shared = spark.sparkContext.broadcast(lm)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        docs_of, seen = Counter(), {}
+        held: Counter = Counter()
+        seen: dict[bytes, list[str]] = {}
 
-        def send(y: int) -> pa.RecordBatch:
-            keys, held = ["", *n[y]], [docs_of.pop(y, 0), *n[y].values()]
-            n[y].clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([y] * len(keys), pa.int32()), pa.array(held, pa.int64())], ["entry", "y", "n"])
+        def send() -> pa.RecordBatch:
+            keys = list(held)
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], ["entry", "fold", "y", "n"])
+            held.clear()
+            return out
 
         for batch in batches:
             for f, y, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if f == 4:
-                    continue
                 own = set(tokens(text))
                 for raw in [t for t in own if t not in seen]:
                     seen[raw] = [e for w in forms(raw, shared.value) for e in entries(w)]
-                n[y].update({e for raw in own for e in seen[raw]})
-                docs_of[y] += 1
+                held.update([(e, f, y) for e in {"", *(e for raw in own for e in seen[raw])}])
                 if len(seen) > SEEN_TOKENS:
                     seen.clear()
-                if len(n[y]) > HELD_ENTRIES:
-                    yield send(y)
-        for y in (0, 1):
-            yield send(y)
-
-    counts = rows.mapInArrow(count, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("neg"))
-    counts = staged(counts.where((F.col("pos") >= LEAST_SUPPORT) | (F.col("entry") == "")))
+                if len(held) > HELD_ENTRIES:
+                    yield send()
+        yield send()
+
+    # Per entry the counts of each fold and label; the empty entry counts all texts.
+    cell = [F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n"))), F.lit(0)).alias(f"n{y}{f}") for f in FOLDS for y in (0, 1)]
+    total_of = lambda y: sum((F.col(f"n{y}{f}") for f in FOLDS), F.lit(0))
+    counts = rows.select("fold", "y", "text").mapInArrow(count, "entry string, fold int, y int, n long").groupBy("entry").agg(*cell)
+    counts = staged(counts.where((total_of(1) >= LEAST_SUPPORT) | (F.col("entry") == "")))
     total = counts.where("entry = ''").first()
-    n_pos, n_neg = (total.pos or 0, total.neg or 0) if total else (0, 0)
-    model = Model(lm=lm)
-    if n_pos:
+    model, partial = Model(lm=lm), {f: Model(lm=lm) for f in FOLDS}
+    if total and any(total[f"n1{f}"] for f in FOLDS):
+        every = {y: sum(total[f"n{y}{f}"] for f in FOLDS) for y in (0, 1)}
         # The bound of evidence_of, once here to rank and bound what is collected.
-        p, n = F.col("pos") + 0.5, F.coalesce("neg", F.lit(0)) + 0.5
-        low = F.log(p / (n_pos + 1)) - F.log(n / (n_neg + 1)) - 1.3 * F.sqrt(1 / p + 1 / n)
+        p, n = total_of(1) + 0.5, total_of(0) + 0.5
+        low = F.log(p / (every[1] + 1)) - F.log(n / (every[0] + 1)) - 1.3 * F.sqrt(1 / p + 1 / n)
         best = counts.where((F.col("entry") != "") & (low >= LEAST_EVIDENCE)).orderBy(low.desc(), "entry").limit(MAX_ENTRIES).collect()
-        model.evidence = evidence_of({r.entry: r.pos for r in best}, {r.entry: r.neg or 0 for r in best}, n_pos, n_neg)
-    partial = spark.sparkContext.broadcast(model)
+        for left_out, m in [(None, model), *partial.items()]:
+            used = [f for f in FOLDS if f != left_out]
+            of = lambda r, y: sum(r[f"n{y}{f}"] for f in used)  # noqa: E731, B023
+            m.evidence = evidence_of({r.entry: of(r, 1) for r in best}, {r.entry: of(r, 0) for r in best}, of(total, 1), of(total, 0))
+    others = spark.sparkContext.broadcast(partial)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = [partial.value.collect(t) for t in batch.column("text").to_pylist()]
+            xs = [others.value[f].collect(t) for f, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(xs, pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.where("fold = 4").select("y", "text").mapInArrow(collect, "y int, x array<double>").collect()  # at most TRAIN_ROWS rows of four numbers
-    x, y = np.array([r.x for r in got]).reshape(-1, 4), np.array([r.y for r in got], float)
-    model.weights = logistic(x, y) if len(got) else np.array([-3.0, 1.0, 1.0, 0.0, 0.0])
+    got = rows.select("y", "fold", "text").mapInArrow(collect, "y int, x array<double>").collect()  # at most TRAIN_ROWS rows of a few numbers
+    x, y = np.array([r.x for r in got]).reshape(-1, FEATURES), np.array([r.y for r in got], float)
+    order = np.lexsort((*x.T, y))  # sums in one order, whatever order the rows came in
+    model.weights = logistic(x[order], y[order]) if len(got) else np.array([-3.0, 1.0, 1.0, 0.0, 0.0, 0.0])
     return model
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The model as a function of a text column: only texts go to the workers, only scores come back."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shared.value.score(x.as_py() or "") for x in batch.column("text")], pa.float64())], ["doc_id", "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(x.as_py() or "") for x in texts], pa.float64())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return score
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score of every row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -288,11 +313,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    """The rows of docs that score below the threshold, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(x.as_py() or "") < threshold for x in batch.column(text_col)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Every row is judged by its own text, whatever its id; null and empty texts are scored as empty;
+    empty tables give none; further columns may have any name.
+    """
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    return docs.where(scorer(docs.sparkSession, model)(F.col(text_col)) < threshold)
