@@ -25,6 +25,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df (compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only for a side whose counted rows stay within the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -3,8 +3,8 @@
 Each input task is a memtable: it flushes one run file, sorted by digest and carrying a Parquet
 Bloom filter, so that point look-ups skip run files. Compaction merges all runs and keeps the
 smallest identifier and the count of every digest. Digests that occur more than once are hits;
-their texts are read again and compared byte for byte, and a group whose texts differ is split
-by its texts.
+their texts are read again, met by digest and compared byte for byte, and a group whose texts
+differ is split by its texts. Ids only name rows in the result; no join uses them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import SPACES, broadcast_if_small, discard, staged, text_or_empty, without
+from corrgrid.llm.common import SPACES, broadcast_if_small, discard, fresh, staged, text_or_empty, without
 
 #: Run files hold a filter on their digests.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true"}
@@ -61,41 +61,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     runs = flush_runs(docs, id_col, text_col, digest)
     level = staged(compact(runs), options=RUN_OPTIONS)
-    hits = level.where("group_size > 1").select("digest")
-    hit_rows = runs.join(hits, "digest", "left_semi")
-    hit_ids = staged(hit_rows.select("doc_id", "digest"))
-    n_hits = hit_ids.count()
+    hits = staged(level.where("group_size > 1").select("digest"))
+    n_hits = hits.count()
     rows = runs.join(level, "digest")
-    out = rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.lower(F.hex("text_sha")).alias("text_sha256"), "digest", "rid")
+    out = rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.lower(F.hex("text_sha")).alias("text_sha256"), "digest")
     if not n_hits:
-        return out.drop("digest", "rid")
-    # Byte verification. Every hit's text takes part; least and greatest text of a digest are equal
-    # exactly if all its texts are, and the partial aggregate keeps two texts per digest and task.
-    wanted = hit_ids.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).dropDuplicates()
-    key = docs[id_col].eqNullSafe(F.col("hit_id"))
-    reread = docs.join(broadcast_if_small(wanted, n_hits, BROADCAST_HITS), key)
-    reread = reread.select("hit_digest", normalised(text_or_empty(text_col)).alias("norm"))
+        return out.drop("digest")
+    # Byte verification of every hit's texts, joined by digest: least and greatest text of a digest are
+    # equal exactly if all its texts are, and the partial aggregate keeps two texts per digest and task.
+    norm = docs.select(normalised(text_or_empty(text_col)).alias("norm"))
     own = digest(F.col("norm")) if digest else F.unhex(F.sha2("norm", 256))
-    reread = reread.where(own == F.col("hit_digest"))
-    mixed = staged(reread.groupBy("hit_digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select(F.col("hit_digest").alias("digest")))
-    discard(hit_ids)
+    reread = norm.select("norm", own.alias("digest")).join(broadcast_if_small(hits, n_hits, BROADCAST_HITS), "digest", "left_semi")
+    mixed = staged(reread.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest"))
+    discard(hits)
     if mixed.isEmpty():
-        return out.drop("digest", "rid")
+        return out.drop("digest")
     # A digest that several texts share: regroup its rows by the texts' own SHA-256.
     split = runs.join(mixed, "digest", "left_semi")
     again = split.groupBy("digest", "text_sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
     fixed = split.join(again, ["digest", "text_sha"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.lower(F.hex("text_sha")).alias("text_sha256"))
-    return out.join(mixed, "digest", "left_anti").drop("digest", "rid").unionByName(fixed)
+    return out.join(mixed, "digest", "left_anti").drop("digest").unionByName(fixed)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Null and empty texts equal each other; of rows that repeat an id and a text one stays, whichever;
+    a null id stays only if no other row has its text; further columns may have any name; empty
+    tables give none.
+    """
     found = staged(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept", "text_sha256"))
     rows, ids = found.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
     if rows == ids:
         return without(docs, found.where("not kept").select(id_col), id_col)
     # Repeated or null ids: an id alone does not name a row, id and text do.
-    kept = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_own", F.sha2(normalised(text_or_empty(text_col)), 256))
-    joined = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    return joined.dropDuplicates([id_col, "_own"]).select(docs.columns)
+    key, sha, own = fresh(docs, "kept_id", "kept_sha", "own_sha")
+    kept = found.where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    keyed = docs.withColumn(own, F.sha2(normalised(text_or_empty(text_col)), 256))
+    joined = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
+    return joined.dropDuplicates([id_col, own]).select(docs.columns)

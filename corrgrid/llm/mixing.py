@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, discard, staged, text_or_empty, word_count
+from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, discard, fresh, staged, text_or_empty, word_count
 
 #: Sources up to this many are broadcast to the histogram (a few dozen bytes each).
 BROADCAST_SOURCES = 50_000
@@ -72,6 +72,9 @@ def _solve(hist: DataFrame, src: DataFrame, cap: int, tolerance: float, steps: i
         discard(last)
         if state.where("not done").isEmpty():
             break
+    else:
+        if not state.where("not done").isEmpty():
+            raise RuntimeError(f"the balancing did not meet its targets within {tolerance} in {steps} steps")
     # Sums of doubles differ in their last digits from run to run; what follows must not.
     return state.withColumn("lam", F.round("lam", 7))
 
@@ -138,10 +141,11 @@ def entropy_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 def repeat_copies(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns.
 
-    Ids name rows here; of rows that share an id each is taken as often as the first of them.
+    Ids name rows here: of rows that share an id each is taken as often as the one taken most; rows
+    whose id is null stay once. Null and empty texts stay once; empty tables give none; further columns may have any name.
     """
-    copies = entropy_mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = staged(copies.where("_copies <> 1").withColumnRenamed("doc_id", "_id"))
-    joined = docs.join(broadcast_if_small(copies, copies.count(), BROADCAST_IDS), docs[id_col] == F.col("_id"), "left")
-    times = F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias("_n")).drop("_n")
+    key, copies, n = fresh(docs, "mix_id", "mix_copies", "mix_n")
+    found = entropy_mix(docs, id_col=id_col, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
+    found = staged(found.where(F.col(copies) != 1))
+    joined = docs.join(broadcast_if_small(found, found.count(), BROADCAST_IDS), F.col(id_col) == F.col(key), "left")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.coalesce(copies, F.lit(1)))).alias(n)).drop(n)

@@ -5,8 +5,8 @@ correlated bits share a part; thresholds t_i per part with sum(t_i + 1) = radius
 any two fingerprints within the radius agree within t_i in some part i. Dynamic programming picks
 the parts' thresholds (-1 skips a part) for the least estimated number of probes and candidates;
 probing and verifying are equi-joins on (part, projection). A projection that very many
-fingerprints share does not emit its pairs: its members are linked through the fingerprints at
-half the radius from them, which two members share exactly if they lie within the radius.
+fingerprints share does not emit its pairs: its members are linked through the fingerprints between
+them, within half the radius of one and the rest of it from the other.
 """
 
 from __future__ import annotations
@@ -149,19 +149,19 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
         probe = index
     else:
         index, probe = index.join(size, ["part", "key"]), probe.join(size, ["part", "key"])
-    even = radius % 2 == 0
-    a = index.where(F.col("members") <= HOT_MEMBERS) if even else index
-    b = probe.where(F.col("members") <= HOT_MEMBERS) if even else probe
+    a, b = index.where(F.col("members") <= HOT_MEMBERS), probe.where(F.col("members") <= HOT_MEMBERS)
     a, b = a.select("part", "key", F.col("fp").alias("fp_a"), F.col("node").alias("u")), b.select("part", "key", F.col("fp").alias("fp_b"), F.col("node").alias("v"))
     close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius
     order = F.col("fp_a") < F.col("fp_b") if plain else F.col("fp_a") != F.col("fp_b")
     edges = a.join(b, (a.part == b.part) & (a.key == b.key) & order & close).select("u", "v")
-    if even:
-        hot = index.unionByName(probe) if not plain else index
-        hot = hot.where(F.col("members") > HOT_MEMBERS).select("fp", "node").distinct()
-        spread = hot.select("node", F.explode(F.transform(_flips(range(BITS), radius // 2), lambda m: F.col("fp").bitwiseXOR(m))).alias("spot"))
-        spots = spread.groupBy("spot").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        edges = edges.unionByName(spread.join(spots, "spot").where("node <> u").select("u", F.col("node").alias("v")))
+    # Around crowded projections: two fingerprints lie within the radius exactly if some spot is within
+    # half of it from one and within the rest from the other. All near ones of a spot link to its least.
+    hot = (index if plain else index.unionByName(probe)).where(F.col("members") > HOT_MEMBERS).select("fp", "node").distinct()
+    half = radius // 2
+    spread = hot.select("fp", "node", F.explode(F.transform(_flips(range(BITS), radius - half), lambda m: F.col("fp").bitwiseXOR(m))).alias("spot"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("spot"))) <= half
+    spots = spread.groupBy("spot").agg(F.min(F.when(near, F.col("node"))).alias("u"), F.count(F.lit(1)).alias("k")).where("k > 1 and u is not null")
+    edges = edges.unionByName(spread.join(spots, "spot").where("node <> u").select("u", F.col("node").alias("v")))
     return edges
 
 
