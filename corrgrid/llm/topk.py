@@ -1,12 +1,14 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Vectors are dealt into candidate blocks and query blocks of bounded size; every pair of blocks is
-one task's work, so neither side is gathered or broadcast whole. In a task candidates come in order of
-descending length. Both sides are rotated by the right singular vectors of the corpus (from its
-64 x 64 Gram matrix, summed over all rows), so that the first coordinates carry most of a product;
-a partial sum plus the Cauchy-Schwarz bound of the two residuals, or of the lengths alone, discards
-candidates that cannot reach the query's k-th score. What remains is scored in exact integers. A
-block keeps k scores per query; the last merge ranks those.
+Vectors are cut into bands of descending length, bands into blocks of bounded size. The queries
+first meet the band of the longest vectors, which gives each a lower bound of its k-th score; then
+only those bands whose longest vector can still reach that bound by Cauchy-Schwarz. Every pair of a
+candidate block and a query block is one task's work, so neither side is gathered or broadcast whole.
+In a task candidates come in order of descending length. Both sides are rotated by the right singular
+vectors of the corpus (from its dim x dim Gram matrix, summed over all rows), so that the first
+coordinates carry most of a product; a partial sum plus the Cauchy-Schwarz bound of the two residuals,
+or of the lengths alone, discards candidates that cannot reach the query's k-th score. What remains is
+scored in exact integers. The last merge ranks what the blocks kept.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import staged
+from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, staged
 
 #: Rows of a candidate block at least and at most, and of a query block; a pair of the largest takes about 300 MB.
 #: Candidates are shuffled once per query block, and each candidate block sends k rows per query: large
@@ -26,6 +28,11 @@ from corrgrid.llm.common import staged
 LEAST_CANDIDATES, MOST_CANDIDATES, QUERIES = 2_048, 32_768, 4_096
 #: Candidates scored between two updates of the k-th scores, and the share of rotated coordinates in the partial sum.
 STEP, HEAD = 512, 4
+#: Bands of length, and the shortest share of the rows that is the first of them.
+BANDS = 16
+#: Products below this are exact in doubles; longer vectors are multiplied as 64-bit integers.
+EXACT = 2.0**52
+LEAST = np.iinfo(np.int64).min + 1
 
 
 def scaled(vector: Column, factor: int) -> Column:
@@ -61,8 +68,8 @@ def _matrix(rows: list[list[int]], dim: int) -> np.ndarray:
     return out
 
 
-def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its k best (score, then smaller id) of one candidate block."""
+def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query its k best (score, then smaller id) of one candidate block, as far as they reach the query's floor."""
     order = np.lexsort((ids, -(c.astype(float) ** 2).sum(axis=1)))
     ids, c = ids[order], c[order]
     head = max(1, rotation.shape[1] // HEAD) if rotation.shape[1] else 0
@@ -70,9 +77,10 @@ def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray
     q_norm, c_norm = np.sqrt((rq**2).sum(axis=1)), np.sqrt((rc**2).sum(axis=1))
     q_rest, c_rest = np.sqrt((rq[:, head:] ** 2).sum(axis=1)), np.sqrt((rc[:, head:] ** 2).sum(axis=1))
     slack = 1e-9 * (q_norm.max(initial=0) * c_norm.max(initial=0) + 1)
+    exact = q_norm.max(initial=0) * c_norm.max(initial=0) < EXACT
     best_s = np.full((len(q), 0), 0, np.int64)
     best_i = np.full((len(q), 0), 0, np.int64)
-    kth = np.full(len(q), -np.inf)
+    kth = floor.astype(float)
     for a in range(0, len(c), STEP):
         live = np.flatnonzero(q_norm * c_norm[a] + slack >= kth)  # lengths only fall from here on
         if not len(live):
@@ -81,20 +89,20 @@ def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray
         bound = rq[live, :head] @ rc[a:b, :head].T + q_rest[live, None] * c_rest[None, a:b] + slack
         may = bound >= kth[live, None]
         keep = np.flatnonzero(may.any(axis=0))
-        s = np.full((len(live), len(keep)), np.iinfo(np.int64).min)
+        s = np.full((len(live), len(keep)), LEAST)
         if len(keep):
-            full = q[live].astype(float) @ c[a + keep].astype(float).T  # exact: far below 2 ** 53
+            full = np.rint(q[live].astype(float) @ c[a + keep].astype(float).T).astype(np.int64) if exact else q[live] @ c[a + keep].T
             ok = may[:, keep] & (ids[a + keep][None, :] != query_ids[live, None])
-            s[ok] = np.rint(full[ok]).astype(np.int64)
-        new_s, new_i = np.full((len(q), len(keep)), np.iinfo(np.int64).min), np.zeros((len(q), len(keep)), np.int64)
+            s[ok] = full[ok]
+        new_s, new_i = np.full((len(q), len(keep)), LEAST), np.zeros((len(q), len(keep)), np.int64)
         new_s[live], new_i[:] = s, ids[a + keep][None, :]
         best_s, best_i = np.hstack([best_s, new_s]), np.hstack([best_i, new_i])
-        top = np.lexsort((best_i, -best_s.astype(float)), axis=1)[:, :k]
+        top = np.lexsort((best_i, -best_s), axis=1)[:, :k]
         best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
         if best_s.shape[1] == k:
-            kth = np.where(best_s[:, -1] > np.iinfo(np.int64).min, best_s[:, -1].astype(float), -np.inf)
+            kth = np.maximum(kth, np.where(best_s[:, -1] > LEAST, best_s[:, -1].astype(float), -np.inf))
     for i, query in enumerate(query_ids):
-        real = best_s[i] > np.iinfo(np.int64).min
+        real = best_s[i] >= max(floor[i], LEAST + 1)
         yield int(query), best_i[i][real], best_s[i][real]
 
 
@@ -104,29 +112,53 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     Components x become floor(factor * x) in integers. Vectors that are null or hold null, NaN or
     infinite components, and rows with a null id, take no part. Equal scores go to the smaller id.
     A shorter vector counts as padded with zeros. Of repeated ids the least vector counts. Empty
-    tables give no rows; further columns are ignored. Scores must stay below 2 ** 53.
+    tables give no rows; further columns are ignored. Scores must fit 64-bit integers; wider vectors
+    are not told apart from overflow. `candidates` bounds a block's rows.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    rows = staged(rows)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    rows = staged(rows.withColumn("norm", norm))
     n, dim, n_queries = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.sum(F.when(F.col("id") % every == 0, 1))).first()
     dim, n_queries = dim or 0, n_queries or 0
     values, axes = np.linalg.eigh(gram(rows, dim)) if dim else (np.zeros(0), np.zeros((0, 0)))
     rotation = np.ascontiguousarray(axes[:, np.argsort(-values)])
     size = candidates or min(max(n // (4 * vectors.sparkSession.sparkContext.defaultParallelism), LEAST_CANDIDATES), MOST_CANDIDATES)
-    blocks, query_blocks = max(1, -(-n // size)), max(1, -(-n_queries // queries))
-    place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    c = rows.select("id", "v", place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block"))
-    q = rows.where(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), place(query_blocks).alias("q_block"))
+    query_blocks = max(1, -(-n_queries // queries))
+    # Bands by approximate quantiles of the length; any cuts give the same result.
+    cuts = sorted(set(rows.approxQuantile("norm", [1 - k / BANDS for k in range(1, BANDS)], 0.01)), reverse=True) if n else []
+    band = sum((F.when(F.col("norm") < cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    banded = rows.withColumn("band", band)
+    found = {r.band: r for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.max("norm").alias("longest")).collect()}  # at most BANDS rows
+    bands = range(len(cuts) + 1)
+    blocks = F.element_at(F.array(*[F.lit(max(1, -(-found[b].members // size)) if b in found else 1) for b in bands]), F.col("band") + 1)
+    c = banded.select(F.col("id").alias("c_id"), F.col("v").alias("c_v"), F.col("band").alias("c_band"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("c_block"))
+    q = rows.where(F.col("id") % every == 0).select("id", "v", "norm", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q_block"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        kept: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            got = _search(np.array(left["id"]), _matrix(left["v"].to_pylist(), dim), np.array(right["id"]), _matrix(right["v"].to_pylist(), dim), rotation, k)
-            found = [(query, int(i), int(s)) for query, ids, scores in got for i, s in zip(ids, scores, strict=True)]
-        a, b, s = zip(*found, strict=True) if found else ((), (), ())
+            got = _search(np.array(left["id"]), _matrix(left["v"].to_pylist(), dim), np.array(right["c_id"]), _matrix(right["c_v"].to_pylist(), dim), rotation, k, np.array(left["floor"], np.int64))
+            kept = [(query, int(i), int(s)) for query, ids, scores in got for i, s in zip(ids, scores, strict=True)]
+        a, b, s = zip(*kept, strict=True) if kept else ((), (), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
-    best = q.groupBy("block", "q_block").cogroup(c.groupBy("block", "q_block")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(asked: DataFrame) -> DataFrame:
+        """The k best of each (query, floor, band) asked for. A block travels only to the query blocks that ask for its band."""
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        wanted = asked.select(F.col("band").alias("c_band"), F.col("q_block").alias("for_block")).distinct()
+        sent = c.join(broadcast_if_small(wanted, query_blocks * BANDS, BROADCAST_IDS), "c_band")
+        return asked.groupBy("band", "block", "q_block").cogroup(sent.groupBy("c_band", "c_block", "for_block")).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    first = staged(top(search(q.select("id", "v", F.lit(LEAST).alias("floor"), F.lit(0).alias("band"), "q_block"))).drop("rank"))
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    slack = 1 - 1e-9
+    floor = F.col("kth") * F.when(F.col("kth") > 0, slack).otherwise(1 / slack) - 1
+    reached = F.filter(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(found[b].longest).alias("longest")) for b in bands if b in found and b]), lambda x: F.col("kth").isNull() | (F.col("norm") * x["longest"] >= floor))
+    if not any(b in found and b for b in bands):
+        return top(first).select("query_id", "rank", "vec_id", "score")
+    rest = q.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("kth", F.lit(LEAST)).alias("floor"), "q_block", F.explode(F.transform(reached, lambda x: x["band"])).alias("band"))
+    others = search(rest)
+    return top(first.unionByName(others)).select("query_id", "rank", "vec_id", "score")
