@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of staged tables that have not been deleted yet.
+_STAGED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -29,6 +32,7 @@ def staged(df: DataFrame, *, options: dict[str, str] | None = None) -> DataFrame
     df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    _STAGED.append(path)
     return out
 
 
@@ -36,6 +40,18 @@ def discard(df: DataFrame | None) -> None:
     """Delete a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete every table that this process staged, but for one; for the end of a job or of a step of it."""
+    kept = getattr(keep, "_staged_path", None)
+    for path in [p for p in _STAGED if p != kept]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _STAGED:
+        _STAGED.remove(path)
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
