@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrgrid.llm.common import small_batches
+
 #: Fixed value: the pre-tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept by each task; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Texts whose UTF-8 bytes stay below this hold only characters that all Unicode versions at hand
 #: class alike; others are split by the tokenizers library's own pre-tokenizer.
 OLD_UNICODE = 0xD4
@@ -209,6 +211,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, id_col:
     empty text; repeated rows are encoded each; empty tables give no rows; further columns are ignored.
     """
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -224,6 +227,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, id_col:
 def encode_digests(docs: DataFrame, vocabulary: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_documents, without moving the ids."""
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shown, decoded = codec(path), {}, {}

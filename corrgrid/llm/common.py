@@ -12,6 +12,17 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to a Python worker: texts are long rows, and both sides hold whole batches.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session hold more than BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +53,7 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 #: Ids up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 
 def without(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id") -> DataFrame:

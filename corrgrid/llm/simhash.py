@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import staged
+from corrgrid.llm.common import small_batches, staged
 from corrgrid.llm.components import components
 
 BITS = 64
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = [fingerprint(x.as_py() or b"", width) for x in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import BROADCAST_IDS, staged
+from corrgrid.llm.common import BROADCAST_IDS, small_batches, staged
 
 #: Each of the sketch's rows has at most 2 ** SKETCH_BITS slots (32 MB as bits).
 SKETCH_BITS = 28
@@ -341,6 +341,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every other. Empty tables give no rows; further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), F.encode(text, "UTF-8").alias("raw"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0

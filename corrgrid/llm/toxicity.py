@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import staged
+from corrgrid.llm.common import small_batches, staged
 
 #: Labelled rows that the classifier is fitted on at most (smallest hashes of doc_id first).
 TRAIN_ROWS = 20_000
@@ -33,7 +33,7 @@ LEAST_SUPPORT = 3
 #: Scored tokens each task remembers, and the longest of them in bytes (longer ones are scored each time).
 CACHE_TOKENS, CACHE_BYTES = 100_000, 64
 #: Tokens whose entries, and entries whose counts, a counting task holds before it starts anew or sends them.
-SEEN_TOKENS, HELD_ENTRIES = 40_000, 300_000
+SEEN_TOKENS, HELD_ENTRIES = 15_000, 150_000
 CLASSES = 28  # boundary, a-z, other letters
 #: Folds of labelled rows besides the held-out one, and the numbers that a text collects.
 FOLDS, FEATURES = (1, 2, 3, 4), 5
@@ -222,6 +222,7 @@ def fold(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows of folds 1 to 4; of rows that share a text one counts, with the greatest label."""
     spark = docs.sparkSession
+    small_batches(spark)
     lm = char_model(docs, text_col).tolist()
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"), fold(id_col).alias("fold"))
     known = known.where("fold <> 0").groupBy("label_id", "fold").agg(F.max("y").alias("y"))
