@@ -52,13 +52,16 @@ def find_entities(text: Column) -> dict[str, Column]:
     }
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """rid, term, start, end of every word of three or more letters or digits outside all entities of its text (rid, t, every)."""
-    zipped = F.arrays_zip(F.split("t", WORDS, -1).alias("gap"), F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)).alias("m"))
-    pieces = rows.select("rid", F.posexplode(zipped).alias("pos", "x")).select("rid", "pos", F.length("x.gap").alias("skip"), F.col("x.m").alias("m")).where("m is not null")
-    upto = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = pieces.withColumn("end", F.sum(F.col("skip") + F.length("m")).over(upto).cast("int")).where(F.length("m") >= 3)
-    words = ends.select("rid", F.lower("m").alias("term"), (F.col("end") - F.length("m")).alias("start"), "end")
+def terms_of(rows: DataFrame) -> DataFrame:
+    """rid, term: the distinct words of three or more letters or digits of every text (rid, t)."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)), F.lower))
+    return rows.select("rid", F.explode(words).alias("term")).where(F.length("term") >= 3)
+
+
+def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rid, term, start, end of every occurrence of the terms (term) outside all entities of its text (rid, t, every)."""
+    every = rows.select("rid", F.explode(F.filter(matches(F.col("t"), WORDS), lambda x: F.length(x["text"]) >= 3)).alias("x"))
+    words = every.select("rid", F.lower("x.text").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).join(terms, "term", "left_semi")
     # One sweep along each text: a word overlaps an entity if the furthest end of those that start before the word's end lies behind its start.
     spans = rows.select("rid", F.inline("every")).select("rid", F.col("start").alias("at"), F.lit(1).alias("span"), F.lit(None).cast("string").alias("term"), "start", "end")
     events = words.select("rid", F.col("end").alias("at"), F.lit(0).alias("span"), "term", "start", "end").unionByName(spans)
@@ -89,9 +92,9 @@ def disclosing(rows: DataFrame, threshold: float) -> DataFrame:
         return none
     held = held.withColumn("most", F.col("with_entity") * F.pow(n / F.col("with_entity"), 1 - threshold) * (1 + 1e-9) - UNSEEN)
     # Document frequency of every term of every text.
-    each = rows.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)), F.lower))).alias("term")).where(F.length("term") >= 3)
+    each = terms_of(rows)
     terms = each.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    near = occurrences(own).select("rid", "term").distinct().join(held.groupBy("rid").agg(F.max("most").alias("highest")), "rid")
+    near = terms_of(own).join(held.groupBy("rid").agg(F.max("most").alias("highest")), "rid")
     rare = near.join(terms, "term").where(F.col("with_term") <= F.col("highest")).select("rid", "term", "with_term")
     pairs = rare.join(held, "rid").where(F.col("with_term") <= F.col("most")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
     info = -F.log2(F.col("with_entity") / n)
@@ -100,7 +103,7 @@ def disclosing(rows: DataFrame, threshold: float) -> DataFrame:
     strong = broadcast_if_small(strong, strong.count(), BROADCAST_IDS)
     holders = staged(each.join(strong, "term").select("rid").distinct())
     again = rows.join(broadcast_if_small(holders, holders.count(), BROADCAST_IDS), "rid", "left_semi")
-    spans = occurrences(again).join(strong, "term").select("rid", F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind")).alias("s"))
+    spans = occurrences(again, strong).select("rid", F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind")).alias("s"))
     return spans.groupBy("rid").agg(F.collect_set("s").alias("terms"))
 
 
@@ -115,8 +118,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and sanitised).
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. A term is one word of
-    three or more letters or digits, outside all entities; every document of the corpus that holds a
-    disclosing term gets its spans.
+    three or more letters or digits; every document of the corpus that holds a disclosing term gets
+    spans for its occurrences outside all entities.
     Repeated rows are scanned and counted each, and a null doc_id is kept; empty tables give no rows;
     further columns are ignored.
     """
