@@ -52,15 +52,16 @@ def find_entities(text: Column) -> dict[str, Column]:
     }
 
 
+#: Outer explodes below: an inner one makes Spark test the size of its array first, which computes it twice.
 def terms_of(rows: DataFrame) -> DataFrame:
     """rid, term: the distinct words of three or more letters or digits of every text (rid, t)."""
     words = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)), F.lower))
-    return rows.select("rid", F.explode(words).alias("term")).where(F.length("term") >= 3)
+    return rows.select("rid", F.explode_outer(words).alias("term")).where(F.length("term") >= 3)
 
 
 def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """rid, term, start, end of every occurrence of the terms (term) outside all entities of its text (rid, t, every)."""
-    every = rows.select("rid", F.explode(F.filter(matches(F.col("t"), WORDS), lambda x: F.length(x["text"]) >= 3)).alias("x"))
+    every = rows.select("rid", F.explode_outer(F.filter(matches(F.col("t"), WORDS), lambda x: F.length(x["text"]) >= 3)).alias("x"))
     words = every.select("rid", F.lower("x.text").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).join(terms, "term", "left_semi")
     # One sweep along each text: a word overlaps an entity if the furthest end of those that start before the word's end lies behind its start.
     spans = rows.select("rid", F.inline("every")).select("rid", F.col("start").alias("at"), F.lit(1).alias("span"), F.lit(None).cast("string").alias("term"), "start", "end")
