@@ -75,3 +75,44 @@ def merge(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(key).orderBy(F.desc(stamp), F.desc("_new"))
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+
+
+def full_report(r: DataFrame, images: DataFrame, sensors: DataFrame, metrics: DataFrame, configs: DataFrame) -> DataFrame:
+    """Runs (run_id, source_id, reference_id, status) with both images (image_id, path, sensor_id), both sensors
+    (sensor_id, sensor), and, where there are any, metrics and configs (run_id, ...)."""
+
+    def side(name: str) -> DataFrame:
+        named = images.join(sensors, "sensor_id")
+        return named.select(F.col("image_id").alias(f"{name}_id"), F.col("path").alias(f"{name}_path"), F.col("sensor").alias(f"{name}_sensor"))
+
+    return r.join(side("source"), "source_id").join(side("reference"), "reference_id").join(metrics, "run_id", "left").join(configs, "run_id", "left")
+
+
+def best_by_pair(report: DataFrame, n: int) -> DataFrame:
+    """The n best runs of each pair of sensors by quality, ties to the smaller run id."""
+    w = Window.partitionBy("source_sensor", "reference_sensor").orderBy(F.desc("quality_score"), "run_id")
+    return report.where("quality_score is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def first_completed(r: DataFrame, key: str, n: int = 2) -> DataFrame:
+    """The n earliest successful runs of each key."""
+    w = Window.partitionBy(key).orderBy("created_at", "run_id")
+    return r.where("status = 'success'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def log_run(runs: DataFrame, metrics: DataFrame, matches: DataFrame, root: str) -> None:
+    """Append runs with their metrics and matches to the catalog's tables. Runs come last: a reader that
+    starts from them never sees one whose metrics or matches are still missing."""
+    for name, df in (("matches", matches), ("metrics", metrics), ("runs", runs)):
+        df.write.mode("append").parquet(f"{root}/{name}")
+
+
+def list_datasets(uploads: DataFrame, samples: DataFrame) -> DataFrame:
+    """Both listings as one; columns that one lacks are null there, origin says where a row is from."""
+    return uploads.withColumn("origin", F.lit("upload")).unionByName(samples.withColumn("origin", F.lit("sample")), allowMissingColumns=True)
+
+
+def fetch(listing: DataFrame, key: str) -> DataFrame:
+    """One row per key: uploads before samples."""
+    w = Window.partitionBy(key).orderBy(F.desc("origin"))
+    return listing.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")

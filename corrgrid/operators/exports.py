@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrgrid.functions.geo import DEGREE_M, width_m
@@ -54,3 +54,19 @@ def lonlat_to_pixel(lon: Column, lat: Column, box: tuple[Column, Column, Column,
     x = (lon - min_lon) / F.nullif(max_lon - min_lon, F.lit(0.0)) * width - 0.5
     y = (max_lat - lat) / F.nullif(max_lat - min_lat, F.lit(0.0)) * height - 0.5
     return x, y
+
+
+#: The header of a whole table of matches.
+MATCH_HEADER = ("src_canvas_x", "src_canvas_y", "ref_x", "ref_y", "pred_ref_x", "pred_ref_y", "confidence", "inlier")
+
+
+def match_table(m: DataFrame, predicted: tuple[Column, Column], inlier: Column) -> list[Column]:
+    """The columns of MATCH_HEADER as text, to be written with a header."""
+    four = lambda c: F.format_string("%.4f", c)
+    made = [F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), *predicted, F.col("confidence")]
+    return [*[four(c.cast("double")).alias(n) for c, n in zip(made, MATCH_HEADER, strict=False)], inlier.cast("int").cast("string").alias(MATCH_HEADER[-1])]
+
+
+def numbered(m: DataFrame, key: str, order: list[Column], name: str = "idx") -> DataFrame:
+    """m with numbers from 0 within each key."""
+    return m.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

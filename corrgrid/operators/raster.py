@@ -69,11 +69,11 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def masked_errors(df: DataFrame) -> DataFrame:
-    """RMSE, MAE and correlation where both images are above zero."""
-    v = df.where("a > 0 and b > 0")
+    """RMSE, MAE and correlation where both images are above zero; one aggregate."""
     d = F.col("a") - F.col("b")
-    e = v.groupBy("image_id").agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
-    return e.join(correlation(v, "a", "b"), "image_id").select("image_id", "rmse", "mae", "n", F.coalesce("zncc", F.lit(0.0)).alias("ncc"))
+    spread = F.sqrt(F.var_pop("a") * F.var_pop("b"))
+    ncc = F.when(spread > 0, F.covar_pop("a", "b") / F.nullif(spread, F.lit(0.0)))
+    return df.where("a > 0 and b > 0").groupBy("image_id").agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("n"), F.coalesce(ncc, F.lit(0.0)).alias("ncc"))
 
 
 def mutual_information(df: DataFrame, bin_a: Column, bin_b: Column, log2: bool) -> DataFrame:
@@ -85,6 +85,20 @@ def mutual_information(df: DataFrame, bin_a: Column, bin_b: Column, log2: bool)
     return j.groupBy("image_id").agg(F.sum(t).alias("mi"))
 
 
+def mutual_information_ranged(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
+    """Natural-log mutual information over equal bins of each image's own range; 1e-8 keeps the products of marginals off zero."""
+    own = Window.partitionBy("image_id")
+
+    def binned(v: str) -> Column:
+        low, high = F.min(v).over(own), F.max(v).over(own)
+        return F.least(F.floor((F.col(v) - low) * float(bins) / F.nullif(high - low, F.lit(0))), F.lit(bins - 1))
+
+    j = df.select("image_id", binned(a).alias("i"), binned(b).alias("k")).groupBy("image_id", "i", "k").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda *k: F.sum("n").over(Window.partitionBy("image_id", *k)) / F.sum("n").over(own)
+    j = j.select("image_id", (F.col("n") / F.sum("n").over(own)).alias("p"), share("i").alias("pi"), share("k").alias("pk"))
+    return j.groupBy("image_id").agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("pi") * F.col("pk") + 1e-8))).alias("mi"))
+
+
 def ssim(df: DataFrame) -> DataFrame:
     """Mean structural similarity over full 7 x 7 windows, sample covariance, data range 255."""
     a, b = F.col("a").cast("double"), F.col("b").cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgrid.functions import geo
@@ -154,9 +154,11 @@ def sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gradient_correlation", _P + _SOBEL + " SELECT image_id, round((coalesce(corr(gx,hx),0)+coalesce(corr(gy,hy),0))/2,4) AS gradient_corr FROM s GROUP BY image_id")
 def gradient_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sobel(spark, sf_dir)
-    x, y = raster.correlation(s, "gx", "hx").withColumnRenamed("zncc", "cx"), raster.correlation(s, "gy", "hy").withColumnRenamed("zncc", "cy")
-    return rounded(x.join(y, "image_id").select("image_id", ((F.coalesce("cx", F.lit(0.0)) + F.coalesce("cy", F.lit(0.0))) / 2).alias("gradient_corr")))
+    def corr(x: str, y: str) -> Column:
+        spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+        return F.coalesce(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+
+    return rounded(_sobel(spark, sf_dir).groupBy("image_id").agg(((corr("gx", "hx") + corr("gy", "hy")) / 2).alias("gradient_corr")))
 
 
 @query("weber", _P + ", k AS (SELECT unnest([-1,0,1]) dr), s AS (SELECT image_id, row-x.dr AS row, col-y.dr AS col, sum(a) t FROM px, k x, k y WHERE a IS NOT NULL GROUP BY ALL HAVING count(*)=9) SELECT s.image_id, s.row, s.col, round(atan((t-9*a)/(a+1e-5)),4) AS excitation FROM s JOIN px ON px.image_id=s.image_id AND px.row=s.row AND px.col=s.col WHERE a IS NOT NULL")
