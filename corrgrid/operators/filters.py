@@ -135,6 +135,18 @@ def eroded_mask(px: DataFrame, v: str, radius: int) -> DataFrame:
     return px.where(F.col(v).isNotNull()).select(*AT).join(bad, list(AT), "left_anti")
 
 
+def ends_inside(matches: DataFrame, mask: DataFrame, ends: list[tuple[int, str, str]], scale: float = 1.0) -> DataFrame:
+    """Matches all of whose ends (image, x, y), scaled and rounded half to even, are pixels of that image's mask.
+
+    Ends that are NULL or beyond the image are not inside; further columns may have any name.
+    """
+    for image, x, y in ends:
+        ok = mask.where(F.col("image_id") == image).select(F.col("row").alias("_row"), F.col("col").alias("_col"))
+        at = [F.rint(matches[c] * scale).cast("long") for c in (y, x)]
+        matches = matches.join(ok, (at[0] == ok["_row"]) & (at[1] == ok["_col"]), "left_semi")
+    return matches
+
+
 def tiles(px: DataFrame, v: str, side: int, tile: int, overlap: int, least: float = 0.1) -> DataFrame:
     """Overlapping tiles with their share of valid pixels; the last snaps to the edge, nearly empty ones go."""
     starts = sorted({min(s, max(side - tile, 0)) for s in range(0, max(side - overlap, 1), tile - overlap)})

@@ -99,14 +99,14 @@ def shadow_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.shadow_mask(_edges(spark, sf_dir), "a", "gx")
 
 
-_ERODED = "k AS (SELECT unnest(generate_series(-2,2)) d), bad AS (SELECT DISTINCT row+x.d AS row, col+y.d AS col FROM px, k x, k y WHERE image_id=0 AND a IS NULL AND x.d*x.d+y.d*y.d <= 4), ok AS (SELECT row, col FROM px ANTI JOIN bad USING (row, col) WHERE image_id=0 AND a IS NOT NULL)"
+_ERODED = "k AS (SELECT unnest(generate_series(-2,2)) d), bad AS (SELECT DISTINCT image_id, row+x.d AS row, col+y.d AS col FROM px, k x, k y WHERE a IS NULL AND x.d*x.d+y.d*y.d <= 4), ok AS (SELECT image_id, row, col FROM px ANTI JOIN bad USING (image_id, row, col) WHERE a IS NOT NULL)"
 
 
-@query("mask_filter", f"WITH {MATCHES_SQL}, {PIXELS_SQL}, {_ERODED}, pt AS (SELECT *, round_even(y0*0.063::DOUBLE, 0)::BIGINT AS row, round_even(x0*0.063::DOUBLE, 0)::BIGINT AS col FROM m WHERE confidence >= 0.2) SELECT pair_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM pt SEMI JOIN ok USING (row, col)")
+@query("mask_filter", f"WITH {MATCHES_SQL}, {PIXELS_SQL}, {_ERODED} SELECT pair_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM m WHERE confidence >= 0.2 AND EXISTS (SELECT 1 FROM ok WHERE image_id = 0 AND row = round_even(y0*0.063::DOUBLE, 0)::BIGINT AND col = round_even(x0*0.063::DOUBLE, 0)::BIGINT) AND EXISTS (SELECT 1 FROM ok WHERE image_id = 1 AND row = round_even(y1*0.063::DOUBLE, 0)::BIGINT AND col = round_even(x1*0.063::DOUBLE, 0)::BIGINT)")
 def mask_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = filters.eroded_mask(pixels(spark, sf_dir).where("image_id = 0"), "a", 2).select("row", "col")
-    m = matches(spark, sf_dir).where("confidence >= 0.2").withColumn("row", F.rint(F.col("y0") * 0.063).cast("long")).withColumn("col", F.rint(F.col("x0") * 0.063).cast("long"))
-    return m.join(ok, ["row", "col"], "left_semi").select("pair_id", *_ROW_KEY)
+    ok = filters.eroded_mask(pixels(spark, sf_dir), "a", 2)
+    m = matches(spark, sf_dir).where("confidence >= 0.2")
+    return filters.ends_inside(m, ok, [(0, "x0", "y0"), (1, "x1", "y1")], 0.063).select("pair_id", *_ROW_KEY)
 
 
 @query("tiles", _P + ", s AS (SELECT unnest([0,16,32,40]) s) SELECT image_id, y.s AS y0, x.s AS x0, count(*) AS n, round(avg((a IS NOT NULL)::INT), 4) AS valid FROM px, s y, s x WHERE row >= y.s AND row < y.s+24 AND col >= x.s AND col < x.s+24 GROUP BY ALL HAVING avg((a IS NOT NULL)::INT) >= 0.1")
@@ -231,9 +231,9 @@ def polarity_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("pair_id").agg(F.max_by("inverted", F.struct("inliers", -F.col("inverted"))).alias("inverted"), F.max("inliers").alias("inliers"))
 
 
-@query("ground_control", f"WITH {MATCHES_SQL}, {_E} SELECT pair_id, round(sqrt(avg(e*e)),4) AS rmse, round(avg(e),4) AS mean, round(max(e),4) AS max, round(min(e),4) AS min, round(stddev_pop(e),4) AS std, count(*) AS n FROM e WHERE l_partkey % 10 = 0 GROUP BY pair_id")
+@query("ground_control", f"WITH {MATCHES_SQL}, {_E} SELECT pair_id, round(sqrt(avg(e*e)),4) AS rmse, round(avg(e),4) AS mean, round(max(e),4) AS max, round(min(e),4) AS min, round(stddev_pop(e),4) AS std, count(*) AS n FROM e GROUP BY pair_id")
 def ground_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = points.residual_stats(matches(spark, sf_dir).where("l_partkey % 10 = 0"), H_TRUE)
+    s = points.residual_stats(matches(spark, sf_dir), H_TRUE)
     return rounded(s.select("pair_id", "rmse", "mean", "max", "min", "std", "n"))
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corrgrid.operators import catalog, knn, points, raster
+from corrgrid.operators import catalog, filters, knn, points, raster
 from corrgrid.streaming import progress as stages
 
 
@@ -68,3 +68,12 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     q.stop()
     show = lambda df: sorted(map(tuple, df.select("user_id", "n_events", "progress").collect()))
     assert show(spark.table("progress")) == show(stages.progress(events))
+
+
+def test_both_ends_must_be_inside_their_masks(spark):
+    mask = spark.createDataFrame([(0, 1, 2), (1, 3, 4)], "image_id long, row long, col long")
+    rows = [(1, 2.4, 1.0, 4.0, 3.0, 9), (2, 2.0, 1.0, 4.0, 9.0, 9), (3, None, 1.0, 4.0, 3.0, 9), (4, 2.6, 1.0, 4.0, 3.0, 9), (5, 2.5, 1.0, 4.5, 3.0, 9)]
+    m = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, row long")
+    ends = [(0, "x0", "y0"), (1, "x1", "y1")]
+    assert sorted(r.id for r in filters.ends_inside(m, mask, ends).collect()) == [1, 5]
+    assert filters.ends_inside(m, mask.limit(0), ends).isEmpty()
