@@ -138,9 +138,18 @@ def _solve_four(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hypotheses(m: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """pair_id, hyp, h: homographies through four points each, chosen by hashes of their keys."""
+    """pair_id, hyp, h: up to n homographies through four different points each, chosen by hashes of their keys.
+
+    A pair of fewer than 4 n points is dealt into fours again, in another order, until it has n;
+    pairs of fewer than four points have none.
+    """
     pick = Window.partitionBy("pair_id").orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    chosen = m.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= 4 * n).withColumn("hyp", F.floor((F.col("rn") - 1) / 4).cast("int"))
+    few = m.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= 4 * n)  # whole smaller pairs
+    fours = F.floor(F.count(F.lit(1)).over(Window.partitionBy("pair_id")) / 4).cast("int")
+    dealt = few.withColumn("fours", fours).where("fours > 0").withColumn("deal", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(n) / F.col("fours")).cast("int") - 1)))
+    again = Window.partitionBy("pair_id", "deal").orderBy(F.xxhash64(F.lit(seed) + F.col("deal"), *key), *key)
+    dealt = dealt.withColumn("rn", F.row_number().over(again)).where(F.col("rn") <= 4 * F.col("fours"))
+    chosen = dealt.withColumn("hyp", F.col("deal") * F.col("fours") + F.floor((F.col("rn") - 1) / 4).cast("int")).where(F.col("hyp") < n)
     four = chosen.groupBy("pair_id", "hyp").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("points"))  # four points
     return four.mapInArrow(_solve_four, "pair_id long, hyp int, h array<double>").where("h is not null")
 

@@ -147,9 +147,9 @@ def crater_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(filters.region_stats(_circles(spark, sf_dir), pixels(spark, sf_dir), "a"))
 
 
-@query("orientation_descriptor", _P + _EDGES + ", kp AS (SELECT image_id*100+row+col kp_id, image_id, row y, col x FROM px WHERE row IN (16,32,48) AND col IN (16,32,48)), j AS (SELECT kp_id, floor((row-y+8)/4)::BIGINT*4+floor((col-x+8)/4)::BIGINT cell, least(floor((atan2(gy::DOUBLE,gx::DOUBLE)+pi())/(2*pi())*6),5)::BIGINT bin, sqrt(gx::DOUBLE*gx+gy::DOUBLE*gy) m FROM kp JOIN g ON g.image_id=kp.image_id AND row>=y-8 AND row<y+8 AND col>=x-8 AND col<x+8), su AS (SELECT kp_id, cell, bin, sum(m) s FROM j GROUP BY ALL), l AS (SELECT *, sqrt(sum(s*s) OVER (PARTITION BY kp_id)) length FROM su) SELECT kp_id, cell, bin, round(s/length,4) AS v FROM l WHERE length > 0")
+@query("orientation_descriptor", _P + _EDGES + ", kp AS (SELECT image_id*4096+row*64+col kp_id, image_id, row y, col x FROM px WHERE row IN (16,32,48) AND col IN (16,32,48)), j AS (SELECT kp_id, floor((row-y+8)/4)::BIGINT*4+floor((col-x+8)/4)::BIGINT cell, least(floor((atan2(gy::DOUBLE,gx::DOUBLE)+pi())/(2*pi())*6),5)::BIGINT bin, sqrt(gx::DOUBLE*gx+gy::DOUBLE*gy) m FROM kp JOIN g ON g.image_id=kp.image_id AND row>=y-8 AND row<y+8 AND col>=x-8 AND col<x+8), su AS (SELECT kp_id, cell, bin, sum(m) s FROM j GROUP BY ALL), l AS (SELECT *, sqrt(sum(s*s) OVER (PARTITION BY kp_id)) length FROM su) SELECT kp_id, cell, bin, round(s/length,4) AS v FROM l WHERE length > 0")
 def orientation_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kp = pixels(spark, sf_dir).where("row in (16,32,48) and col in (16,32,48)").select((F.col("image_id") * 100 + F.col("row") + F.col("col")).alias("kp_id"), "image_id", F.col("row").alias("y"), F.col("col").alias("x"))
+    kp = pixels(spark, sf_dir).where("row in (16,32,48) and col in (16,32,48)").select((F.col("image_id") * 4096 + F.col("row") * 64 + F.col("col")).alias("kp_id"), "image_id", F.col("row").alias("y"), F.col("col").alias("x"))
     return rounded(filters.orientation_descriptor(_edges(spark, sf_dir), "gx", "gy", kp, patch=16))
 
 
