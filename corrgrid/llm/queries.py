@@ -9,6 +9,7 @@ from corrgrid.llm.chat import link_tools
 from corrgrid.llm.common import table
 from corrgrid.llm.exact_dedup import exact_dedup
 from corrgrid.llm.mixing import entropy_mix
+from corrgrid.llm.packing import pack_digests
 from corrgrid.llm.pii import find_pii
 from corrgrid.llm.secrets import secrets
 from corrgrid.llm.simhash import near_dedup
@@ -57,7 +58,11 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel)}
+def op13_packing_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel, op13_packing_best_fit)}
 
 ORACLES = {
     # The table holds no tool calls; their linking is tested on fixtures.
