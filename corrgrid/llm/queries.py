@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corrgrid.llm.bpe import encode_digests
+from corrgrid.llm.centroids import clusters, clusters_sql
 from corrgrid.llm.chat import link_tools
 from corrgrid.llm.common import table
 from corrgrid.llm.exact_dedup import exact_dedup
@@ -58,11 +59,15 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_clusters_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_packing_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel, op13_packing_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel, op12_clusters_drake, op13_packing_best_fit)}
 
 ORACLES = {
     # The table holds no tool calls; their linking is tested on fixtures.
@@ -82,4 +87,5 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_clusters_drake": clusters_sql(),
 }
