@@ -34,7 +34,7 @@ WINDOW, END_ID = 4096, 2
 #: A window with more unused tokens than this is cut anew.
 SLACK = 16
 #: Words whose ids a worker keeps (beyond it the cache starts anew), and bytes of text encoded at once.
-CACHE_WORDS, CHUNK = 2_000_000, 1 << 24
+CACHE_WORDS, CHUNK = 1_000_000, 6 << 20
 #: A letter and the punctuation behind it: the tokenizer always parts them, so a space between them changes no id.
 LETTER_MARK = r"([a-z])([.,!?;:*$&#)])"
 #: Latin letters, which the tokenizer lowers and never splits.
@@ -105,7 +105,9 @@ class Words:
         word = self.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         lengths = self.starts[word + 1] - self.starts[word]
         before = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.flat[np.repeat(self.starts[word] - before[:-1], lengths) + np.arange(before[-1])]
+        at = np.repeat((self.starts[word] - before[:-1]).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = self.flat[at]
         ends = before[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
         if whole.any():
             parts = np.split(flat, ends[:-1])

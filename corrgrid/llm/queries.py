@@ -15,6 +15,7 @@ from corrgrid.llm.pii import find_pii
 from corrgrid.llm.secrets import secrets
 from corrgrid.llm.simhash import near_dedup
 from corrgrid.llm.substring_dedup import substring_dedup
+from corrgrid.llm.tiered import SEARCH_SQL, ranked_search
 from corrgrid.llm.topk import top_k
 from corrgrid.llm.toxicity import toxicity
 
@@ -59,6 +60,10 @@ def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_search_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_clusters_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +72,7 @@ def op13_packing_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel, op12_clusters_drake, op13_packing_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_chat_tool_linking, op2_topk_norm_sorted, op3_substring_countmin, op4_secrets_multipart, op5_pii_information, op6_exact_dedup, op7_bpe_speculate_verify, op8_entropy_mixing, op9_simhash_pigeonhole, op10_toxicity_noisy_channel, op11_search_tiered, op12_clusters_drake, op13_packing_best_fit)}
 
 ORACLES = {
     # The table holds no tool calls; their linking is tested on fixtures.
@@ -87,5 +92,6 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op11_search_tiered": SEARCH_SQL,
     "op12_clusters_drake": clusters_sql(),
 }
