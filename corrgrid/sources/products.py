@@ -1,7 +1,6 @@
 """Labelled raster products: XML labels beside raw arrays, read through Spark's own file systems.
 
-Labels are parsed one per row wherever they lie. A product's array is read as fixed-length records,
-which Hadoop splits at any size, so no task holds an image and any store that Spark reads will do.
+Labels are parsed one per row wherever they lie; sources.arrays reads their arrays.
 """
 
 from __future__ import annotations
@@ -18,26 +17,29 @@ from pyspark.sql import functions as F
 
 from corrgrid.functions.geo import normalise_longitude
 
-#: Element types of arrays, tags of ground sampling distances by priority, and metres per unit.
+#: Element types of arrays, the arrays that are read, tags of ground sampling distances by
+#: priority, metres per unit, and the special constants.
 DTYPES = {
     "UnsignedByte": "u1", "SignedByte": "i1",
-    "UnsignedMSB2": ">u2", "UnsignedMSB4": ">u4", "SignedMSB2": ">i2", "SignedMSB4": ">i4",
-    "UnsignedLSB2": "<u2", "UnsignedLSB4": "<u4", "SignedLSB2": "<i2", "SignedLSB4": "<i4",
+    "UnsignedMSB2": ">u2", "UnsignedMSB4": ">u4", "UnsignedMSB8": ">u8", "SignedMSB2": ">i2", "SignedMSB4": ">i4", "SignedMSB8": ">i8",
+    "UnsignedLSB2": "<u2", "UnsignedLSB4": "<u4", "UnsignedLSB8": "<u8", "SignedLSB2": "<i2", "SignedLSB4": "<i4", "SignedLSB8": "<i8",
     "IEEE754MSBSingle": ">f4", "IEEE754MSBDouble": ">f8", "IEEE754LSBSingle": "<f4", "IEEE754LSBDouble": "<f8",
 }
-GSD_TAGS = ("pixel_resolution_x", "pixel_resolution_y", "pixel_resolution", "horizontal_pixel_scale", "map_scale")
-UNITS_M = {"m": 1.0, "m/pixel": 1.0, "km": 1000.0, "km/pixel": 1000.0, "cm": 0.01}
+ARRAYS = ("Array_2D", "Array_2D_Image", "Array_3D", "Array_3D_Image", "Array_3D_Spectrum")
+GSD_TAGS = ("pixel_resolution_x", "pixel_resolution_y", "ground_sample_distance", "pixel_resolution", "spatial_resolution", "sample_resolution", "line_resolution", "pixel_scale")
+UNITS_M = {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001}
+SPECIAL = ("missing_constant", "invalid_constant", "saturated_constant", "high_instrument_saturation", "high_representation_saturation", "low_instrument_saturation", "low_representation_saturation", "unknown_constant")
 CORNERS = ("upper_left", "upper_right", "lower_left", "lower_right")
 
 _CORNER = "struct<lon:double,lat:double>"
-LABEL = f"label_path string, data_file string, byte_offset long, shape array<long>, axis_names array<string>, dtype string, scaling_factor double, value_offset double, nodata array<double>, gsd_m double, corners map<string,{_CORNER}>, metadata map<string,double>, error string"
+_BOX = "struct<min_lon:double,min_lat:double,max_lon:double,max_lat:double>"
+LABEL = f"label_path string, data_file string, byte_offset long, shape array<long>, axis_names array<string>, dtype string, scaling_factor double, value_offset double, nodata array<double>, gsd_m double, corners map<string,{_CORNER}>, bbox {_BOX}, instrument string, metadata map<string,double>, error string"
 _ARROW = pa.schema([
     ("label_path", pa.string()), ("data_file", pa.string()), ("byte_offset", pa.int64()), ("shape", pa.list_(pa.int64())), ("axis_names", pa.list_(pa.string())), ("dtype", pa.string()),
     ("scaling_factor", pa.float64()), ("value_offset", pa.float64()), ("nodata", pa.list_(pa.float64())), ("gsd_m", pa.float64()),
-    ("corners", pa.map_(pa.string(), pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))), ("metadata", pa.map_(pa.string(), pa.float64())), ("error", pa.string()),
+    ("corners", pa.map_(pa.string(), pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))), ("bbox", pa.struct([(c, pa.float64()) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])),
+    ("instrument", pa.string()), ("metadata", pa.map_(pa.string(), pa.float64())), ("error", pa.string()),
 ])
-#: Records of the raw file hold at least so many bytes where its layout allows.
-RECORD_BYTES = 64
 
 
 class ProductError(ValueError):
@@ -54,48 +56,65 @@ def number(text: str | None) -> float | None:
     return x if math.isfinite(x) else None
 
 
+def _wrapped(lon: float) -> float:
+    """As functions.geo.normalise_longitude, for one number."""
+    return (lon + 180.0) % 360.0 - 180.0
+
+
 def parse_label(xml: bytes) -> dict[str, Any]:
     """The fields of one label; a ProductError says what is missing."""
     try:
-        nodes = [(e.tag.rsplit("}", 1)[-1], e) for e in ET.fromstring(xml).iter()]
+        root = ET.fromstring(xml)
     except ET.ParseError as e:
         raise ProductError(f"malformed label: {e}") from None
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
     text = lambda e: (e.text or "").strip()
-    every = lambda tag: [e for t, e in nodes if t == tag]
-    arrays = [e for t, e in nodes if t.startswith("Array_")]
-    files = every("file_name")
-    if not arrays or not files:
+    every = lambda top, tag: [e for e in top.iter() if name(e) == tag]
+    inside = lambda top: {name(c): text(c) for c in reversed(list(top))}  # noqa: E731  the first child of a name counts
+    area = next(iter(every(root, "File_Area_Observational")), None)
+    if area is None:
+        raise ProductError("no observational file area")
+    files = [f for c in area if name(c) == "File" and (f := inside(c).get("file_name"))]
+    array = next((c for c in area if name(c) in ARRAYS), None)
+    if array is None or not files:
         raise ProductError("no array or no file name")
-    inside: dict[str, list[ET.Element]] = {}
-    for e in arrays[0].iter():
-        inside.setdefault(e.tag.rsplit("}", 1)[-1], []).append(e)
-    one = lambda tag: text(inside[tag][0]) if tag in inside else ""
-    if one("axis_index_order") not in ("", "Last Index Fastest"):
-        raise ProductError(f"axis order {one('axis_index_order')}")
+    fields = inside(array)
+    if fields.get("axis_index_order", "") not in ("", "Last Index Fastest"):
+        raise ProductError(f"axis order {fields['axis_index_order']}")
     axes = []
-    for a in inside.get("Axis_Array", []):
-        f = {c.tag.rsplit("}", 1)[-1]: text(c) for c in a}
+    for f in (inside(c) for c in array if name(c) == "Axis_Array"):
+        if not f.get("elements") or not f.get("sequence_number"):
+            raise ProductError("an axis without elements or sequence number")
         axes.append((int(f["sequence_number"]), f.get("axis_name", ""), int(f["elements"])))
     axes.sort()
     if len(axes) not in (2, 3):
         raise ProductError(f"{len(axes)} axes")
-    if one("data_type") not in DTYPES:
-        raise ProductError(f"element type {one('data_type')}")
-    nodata = [x for s in inside.get("Special_Constants", []) for c in s if (x := number(c.text)) is not None]
+    element = next((inside(c) for c in array if name(c) == "Element_Array"), {})
+    if element.get("data_type") not in DTYPES:
+        raise ProductError(f"element type {element.get('data_type')}")
+    nodata = [x for s in every(array, "Special_Constants") for tag, t in inside(s).items() if tag in SPECIAL and (x := number(t)) is not None]
     gsd = None
     for tag in GSD_TAGS:
-        sizes = [x * UNITS_M.get((e.get("unit") or "m").strip().lower(), 1.0) for e in every(tag) if (x := number(e.text)) is not None and x > 0]
+        sizes = [x * UNITS_M.get((e.get("unit") or "m").strip().lower().split("/")[0].strip(), 1.0) for e in every(root, tag) if (x := number(e.text)) is not None and x > 0]
         if sizes:
             gsd = math.exp(sum(map(math.log, sizes)) / len(sizes))
             break
-    value = {t: number(e.text) for t, e in nodes if t.endswith(("_longitude", "_latitude"))}
-    corners = {c: {"lon": value.get(f"{c}_longitude"), "lat": value.get(f"{c}_latitude")} for c in CORNERS}
-    whole = all(x is not None for c in corners.values() for x in c.values())
-    sun = {t: x for t, e in nodes if ("sun" in t.lower() or "solar" in t.lower()) and not len(e) and (x := number(e.text)) is not None}
+    value = {name(e): x for e in root.iter() if (x := number(e.text)) is not None}
+    corners = {c: {"lon": _wrapped(value[f"{c}_longitude"]), "lat": value[f"{c}_latitude"]} for c in CORNERS if f"{c}_longitude" in value and f"{c}_latitude" in value}
+    corners = corners if len(corners) == len(CORNERS) else {}
+    sides = [value.get(f"{side}_bounding_coordinate") for side in ("west", "east", "south", "north")]
+    if None not in sides:
+        lons, lats = [_wrapped(x) for x in sides[:2]], sides[2:]
+    else:
+        lons, lats = [c["lon"] for c in corners.values()], [c["lat"] for c in corners.values()]
+    box = {"min_lon": min(lons), "min_lat": min(lats), "max_lon": max(lons), "max_lat": max(lats)} if lons else None
+    parts = (inside(c) for c in every(root, "Observing_System_Component"))
+    sun = {name(e): x for e in root.iter() if ("sun" in name(e).lower() or "solar" in name(e).lower()) and not len(e) and (x := number(e.text)) is not None}
     return {
-        "data_file": text(files[0]), "byte_offset": int(one("offset") or 0), "shape": [n for _, _, n in axes], "axis_names": [a for _, a, _ in axes], "dtype": DTYPES[one("data_type")],
-        "scaling_factor": number(one("scaling_factor")) if one("scaling_factor") else 1.0, "value_offset": number(one("value_offset")) if one("value_offset") else 0.0,
-        "nodata": nodata, "gsd_m": gsd, "corners": list(corners.items()) if whole else None, "metadata": list(sun.items()),
+        "data_file": files[-1], "byte_offset": int(number(fields.get("offset")) or 0), "shape": [n for _, _, n in axes], "axis_names": [a for _, a, _ in axes], "dtype": DTYPES[element["data_type"]],
+        "scaling_factor": number(element.get("scaling_factor")) or 1.0, "value_offset": number(element.get("value_offset")) or 0.0,
+        "nodata": nodata, "gsd_m": gsd, "corners": list(corners.items()) or None, "bbox": box,
+        "instrument": next((c.get("name") for c in parts if c.get("type", "").lower() == "instrument"), None), "metadata": list(sun.items()),
     }
 
 
@@ -117,47 +136,10 @@ def read_labels(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataF
 
 
 def read_array(spark: SparkSession, product: dict[str, Any], data_path: str) -> DataFrame:
-    """band, row, col, v of one product: special constants and non-finite values become NULL, the rest is scaled.
-
-    Axes named Line, Sample and Band may come in any order; other names count as line and sample in
-    the order given. A file shorter than the label says is a ProductError.
-    """
-    dtype, shape, offset = np.dtype(product["dtype"]), list(product["shape"]), int(product["byte_offset"])
-    names = [{"line": "row", "sample": "col", "band": "band"}.get(n.lower(), n) for n in product["axis_names"]]
-    if sorted(names) not in (["col", "row"], ["band", "col", "row"]):
-        names = ["row", "col"] if len(shape) == 2 else ["band", "row", "col"]
-    path = spark._jvm.org.apache.hadoop.fs.Path(data_path)
-    total = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    cells = math.prod(shape)
-    if total < offset + cells * dtype.itemsize:
-        raise ProductError(f"{total} bytes where {offset + cells * dtype.itemsize} are needed")
-    # Records must tile the file and meet the array's elements: a common divisor of both.
-    record = math.gcd(total, offset, shape[-1] * dtype.itemsize)
-    record = record if record % dtype.itemsize == 0 else math.gcd(total, offset)
-    grown = record
-    while grown < RECORD_BYTES and total % (grown * 2) == 0 and offset % (grown * 2) == 0:
-        grown *= 2
-    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(grown)}
-    if grown % dtype.itemsize:
-        raise ProductError(f"an array at byte {offset} of {total} bytes does not align with its elements")
-    raw = spark.sparkContext.newAPIHadoopFile(data_path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
-    per = grown // dtype.itemsize
-    skip = offset // dtype.itemsize
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.frombuffer(b"".join(batch.column("raw").to_pylist()), dtype).astype(float)
-            at = (np.array(batch.column("record"), np.int64)[:, None] * per + np.arange(per)).ravel() - skip
-            inside = (at >= 0) & (at < cells)
-            yield pa.RecordBatch.from_arrays([pa.array(at[inside]), pa.array(v[inside])], ["at", "raw"])
-
-    table = spark.createDataFrame(raw.map(lambda kv: (kv[0], bytes(kv[1]))), "record long, raw binary").mapInArrow(run, "at long, raw double")
-    place, size = {}, cells
-    for name, n in zip(names, shape, strict=True):
-        size //= n
-        place[name] = (F.floor(F.col("at") / size) % n).cast("int") if size > 1 else (F.col("at") % n).cast("int")
-    band = place.get("band", F.lit(0)).alias("band")
-    return table.select(band, place["row"].alias("row"), place["col"].alias("col"), physical(F.col("raw"), product["nodata"] or [], product["scaling_factor"], product["value_offset"]).alias("v"))
+    """band, row, col, v of one product whose label is parsed, wherever its data file lies; see sources.arrays."""
+    from corrgrid.sources.arrays import read_parsed
+
+    return read_parsed(spark, product, data_path)
 
 
 def physical(raw: Column, nodata: list[float], scale: float, offset: float) -> Column:

@@ -4,11 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of staged tables that have not been deleted yet.
-_STAGED: list[str] = []
+
+class Scope:
+    """The tables staged while the scope was the innermost one."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def discard(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Delete the scope's tables, but for one, which stays in the scope; results that read them must be written."""
+        kept = getattr(keep, "_staged_path", None)
+        for path in [p for p in self.paths if p != kept]:
+            _delete(spark, path)
+            self.paths.remove(path)
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("corrgrid_scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Own what is staged inside. Tables staged outside, or in a scope of their own, are not touched by it."""
+    mine = Scope()
+    token = _SCOPE.set(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPE.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +60,8 @@ def staged(df: DataFrame, *, options: dict[str, str] | None = None) -> DataFrame
     df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    _STAGED.append(path)
+    if (mine := _SCOPE.get()) is not None:
+        mine.paths.append(path)
     return out
 
 
@@ -43,15 +72,6 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
-def discard_all(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete every table that this process staged, but for one; for the end of a job or of a step of it."""
-    kept = getattr(keep, "_staged_path", None)
-    for path in [p for p in _STAGED if p != kept]:
-        _delete(spark, path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
-    if path in _STAGED:
-        _STAGED.remove(path)
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

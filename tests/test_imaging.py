@@ -152,9 +152,9 @@ def test_circle_is_found(spark):
 
 
 LABEL = """<?xml version="1.0"?>
-<Product xmlns="urn:x"><File><file_name>{file}</file_name></File>
+<Product xmlns="urn:x"><File_Area_Observational><File><file_name>{file}</file_name></File>
 <{kind}><offset unit="byte">{offset}</offset><axis_index_order>Last Index Fastest</axis_index_order>
-<Element_Array><data_type>{dtype}</data_type>{scale}</Element_Array>{axes}{special}</{kind}>
+<Element_Array><data_type>{dtype}</data_type>{scale}</Element_Array>{axes}{special}</{kind}></File_Area_Observational>
 <sun_azimuth>135.5</sun_azimuth><pixel_resolution unit="km/pixel">.005</pixel_resolution>{corners}</Product>"""
 
 
