@@ -68,10 +68,11 @@ def _matrix(rows: list[list[int]], dim: int) -> np.ndarray:
     return out
 
 
-def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its k best (score, then smaller id) of one candidate block, as far as they reach the query's floor."""
+def _search(own: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query its k best (score, then smaller id) of one candidate block, as far as they reach the query's floor.
+    own and rows tell the rows of queries and candidates apart: a query does not meet its own row."""
     order = np.lexsort((ids, -(c.astype(float) ** 2).sum(axis=1)))
-    ids, c = ids[order], c[order]
+    rows, ids, c = rows[order], ids[order], c[order]
     head = max(1, rotation.shape[1] // HEAD) if rotation.shape[1] else 0
     rq, rc = q @ rotation, c @ rotation
     q_norm, c_norm = np.sqrt((rq**2).sum(axis=1)), np.sqrt((rc**2).sum(axis=1))
@@ -92,7 +93,7 @@ def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray
         s = np.full((len(live), len(keep)), LEAST)
         if len(keep):
             full = np.rint(q[live].astype(float) @ c[a + keep].astype(float).T).astype(np.int64) if exact else q[live] @ c[a + keep].T
-            ok = may[:, keep] & (ids[a + keep][None, :] != query_ids[live, None])
+            ok = may[:, keep] & (rows[a + keep][None, :] != own[live, None])
             s[ok] = full[ok]
         new_s, new_i = np.full((len(q), len(keep)), LEAST), np.zeros((len(q), len(keep)), np.int64)
         new_s[live], new_i[:] = s, ids[a + keep][None, :]
@@ -101,9 +102,9 @@ def _search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray
         best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
         if best_s.shape[1] == k:
             kth = np.maximum(kth, np.where(best_s[:, -1] > LEAST, best_s[:, -1].astype(float), -np.inf))
-    for i, query in enumerate(query_ids):
+    for i in range(len(q)):
         real = best_s[i] >= max(floor[i], LEAST + 1)
-        yield int(query), best_i[i][real], best_s[i][real]
+        yield i, best_i[i][real], best_s[i][real]
 
 
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, factor: int = 1024, candidates: int | None = None, queries: int = QUERIES) -> DataFrame:
@@ -111,12 +112,13 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
     Components x become floor(factor * x) in integers. Vectors that are null or hold null, NaN or
     infinite components, and rows with a null id, take no part. Equal scores go to the smaller id.
-    A shorter vector counts as padded with zeros. Of repeated ids the least vector counts. Empty
+    A shorter vector counts as padded with zeros. Rows with equal ids are vectors of their own: each is
+    a candidate of every other row, and each with a query's id is a query with ranks of its own. Empty
     tables give no rows; further columns are ignored. Scores must fit 64-bit integers; wider vectors
     are not told apart from overflow. `candidates` bounds a block's rows.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), F.monotonically_increasing_id().alias("rid"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     rows = staged(rows.withColumn("norm", norm))
     n, dim, n_queries = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.sum(F.when(F.col("id") % every == 0, 1))).first()
@@ -132,33 +134,34 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     found = {r.band: r for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.max("norm").alias("longest")).collect()}  # at most BANDS rows
     bands = range(len(cuts) + 1)
     blocks = F.element_at(F.array(*[F.lit(max(1, -(-found[b].members // size)) if b in found else 1) for b in bands]), F.col("band") + 1)
-    c = banded.select(F.col("id").alias("c_id"), F.col("v").alias("c_v"), F.col("band").alias("c_band"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("c_block"))
-    q = rows.where(F.col("id") % every == 0).select("id", "v", "norm", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q_block"))
+    c = banded.select(F.col("rid").alias("c_rid"), F.col("id").alias("c_id"), F.col("v").alias("c_v"), F.col("band").alias("c_band"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("c_block"))
+    q = rows.where(F.col("id") % every == 0).select("rid", "id", "v", "norm", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).cast("int").alias("q_block"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept: list[tuple[int, int, int]] = []
+        kept: list[tuple[int, int, int, int]] = []
         if left.num_rows and right.num_rows:
-            got = _search(np.array(left["id"]), _matrix(left["v"].to_pylist(), dim), np.array(right["c_id"]), _matrix(right["c_v"].to_pylist(), dim), rotation, k, np.array(left["floor"], np.int64))
-            kept = [(query, int(i), int(s)) for query, ids, scores in got for i, s in zip(ids, scores, strict=True)]
-        a, b, s = zip(*kept, strict=True) if kept else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+            own, names = np.array(left["rid"]), np.array(left["id"])
+            got = _search(own, _matrix(left["v"].to_pylist(), dim), np.array(right["c_rid"]), np.array(right["c_id"]), _matrix(right["c_v"].to_pylist(), dim), rotation, k, np.array(left["floor"], np.int64))
+            kept = [(int(own[q]), int(names[q]), int(i), int(s)) for q, ids, scores in got for i, s in zip(ids, scores, strict=True)]
+        columns = zip(*kept, strict=True) if kept else ((), (), (), ())
+        return pa.table([pa.array(x, pa.int64()) for x in columns], ["rid", "query_id", "vec_id", "score"])
 
     def search(asked: DataFrame) -> DataFrame:
         """The k best of each (query, floor, band) asked for. A block travels only to the query blocks that ask for its band."""
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         wanted = asked.select(F.col("band").alias("c_band"), F.col("q_block").alias("for_block")).distinct()
         sent = c.join(broadcast_if_small(wanted, query_blocks * BANDS, BROADCAST_IDS), "c_band")
-        return asked.groupBy("band", "block", "q_block").cogroup(sent.groupBy("c_band", "c_block", "for_block")).applyInArrow(run, "query_id long, vec_id long, score long")
+        return asked.groupBy("band", "block", "q_block").cogroup(sent.groupBy("c_band", "c_block", "for_block")).applyInArrow(run, "rid long, query_id long, vec_id long, score long")
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    first = staged(top(search(q.select("id", "v", F.lit(LEAST).alias("floor"), F.lit(0).alias("band"), "q_block"))).drop("rank"))
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    first = staged(top(search(q.select("rid", "id", "v", F.lit(LEAST).alias("floor"), F.lit(0).alias("band"), "q_block"))).drop("rank"))
+    kth = first.groupBy("rid").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
     slack = 1 - 1e-9
     floor = F.col("kth") * F.when(F.col("kth") > 0, slack).otherwise(1 / slack) - 1
     reached = F.filter(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(found[b].longest).alias("longest")) for b in bands if b in found and b]), lambda x: F.col("kth").isNull() | (F.col("norm") * x["longest"] >= floor))
     if not any(b in found and b for b in bands):
         return top(first).select("query_id", "rank", "vec_id", "score")
-    rest = q.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("kth", F.lit(LEAST)).alias("floor"), "q_block", F.explode(F.transform(reached, lambda x: x["band"])).alias("band"))
+    rest = q.join(kth, "rid", "left").select("rid", "id", "v", F.coalesce("kth", F.lit(LEAST)).alias("floor"), "q_block", F.explode(F.transform(reached, lambda x: x["band"])).alias("band"))
     others = search(rest)
     return top(first.unionByName(others)).select("query_id", "rank", "vec_id", "score")

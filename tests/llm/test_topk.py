@@ -22,3 +22,19 @@ def test_bands_of_length_lose_nothing(spark):
         s = sorted((-sum(x * y for x, y in zip(v[i], w)), j) for j, w in v.items() if j != i)[:10]
         want += [(i, k + 1, j, -a) for k, (a, j) in enumerate(s)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(100, 1, 1, 2 << 20), (100, 2, 1, 1 << 20), (100, 3, 2, 1 << 19)]
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 300), [rng.gauss(0, 1) for _ in range(4)]) for _ in range(900)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), candidates=64, queries=2)
+    v = [[int(1024 * x // 1) for x in e] for _, e in rows]
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % 100 == 0:
+            s = sorted((-sum(x * y for x, y in zip(v[i], w)), rows[j][0]) for j, w in enumerate(v) if j != i)[:10]
+            want += [(q, k + 1, j, -a) for k, (a, j) in enumerate(s)]
+    assert sum(q % 100 == 0 for q, _ in rows) > 3 and sorted(map(tuple, got.collect())) == sorted(want)
