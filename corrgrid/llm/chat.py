@@ -30,6 +30,8 @@ TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer
 MESSAGE = "conv_id long, turn long, role string, rid long, json string, calls array<struct<idx:int,id:string,name:string,args:string,needs:array<string>>>, result_of string, tools array<struct<name:string,schema:string>>, malformed array<string>"
 #: Tool messages that links join, up to which one task orders them from their keys; larger groups are ordered in rounds.
 ORDERED_AT_ONCE = 100_000
+#: Lists and objects inside each other at most; deeper JSON counts as text.
+MOST_NESTED = 200
 
 
 def _whole(x: float) -> int | float:
@@ -48,11 +50,17 @@ def settle(value: Any) -> Any:
 
 
 def read_json(text: str) -> Any:
-    """The JSON value of a text; ValueError if it has none that can be held."""
+    """The JSON value of a text; ValueError if it has none, or one nested deeper than MOST_NESTED."""
     try:
-        return settle(json.loads(text))
+        value = json.loads(text)
     except RecursionError:
         raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(MOST_NESTED):
+        level = [x for v in level if isinstance(v, list | dict) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return settle(value)
+    raise ValueError("nested too deep")
 
 
 def canonical(value: Any) -> str:
@@ -285,7 +293,7 @@ def link_tools(messages: DataFrame) -> DataFrame:
     linking; every other text is plain content, null content stays null. Sorting by conv_id, eff_turn,
     level, turn gives a topological order. n_linked counts calls with a result, n_orphans is 1 for a
     result without a call, n_invalid counts calls whose arguments break the schema or that name no
-    declared tool. Of calls with one id the first (turn, position) is linked; repeated results all
+    declared tool. JSON nested deeper than 200 levels is text, as a message and as arguments. Of calls with one id the first (turn, position) is linked; repeated results all
     are. Null conv_ids, ids and names match nothing. Messages on cycles of references, or between two
     cycles, keep only the links that lead forward. Calls, tools and schemas of a wrong form are named
     in errors; numbers of one value have one text, and infinities become null. Repeated rows are

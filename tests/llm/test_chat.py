@@ -83,3 +83,16 @@ def test_many_conversations_against_plain_python(spark):
             want[conv, t] = (*rank(t), int(c is not None), int(c is not None and c["id"] in answers), int(m.get("tool_call_id", "k") not in place and "tool_call_id" in m), int(bad))
     got = {(r.conv_id, r.turn): (r.eff_turn, r.level, r.n_calls, r.n_linked, r.n_orphans, r.n_invalid) for r in link_tools(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
     assert got == want
+
+
+def test_nesting_at_every_depth(spark):
+    depths = [1, 150, 199, 200, 201, *range(900, 1101, 5), 10_000]
+    nested = lambda n: "[" * n + "]" * n
+    rows = [(1, n, "assistant", json.dumps({"tool_calls": [{"id": f"c{n}", "name": "f", "arguments": nested(n)}]})) for n in depths]
+    rows += [(2, n, "assistant", '{"tool_calls":[{"id":"c","name":"f","arguments":' + nested(n) + "}]}") for n in depths]
+    rows += [(3, 0, "system", '{"tools":[{"name":"f","parameters":{"enum":[' + nested(190) + "]}}]}"), (3, 1, "assistant", '{"tool_calls":[{"id":"c","name":"f","arguments":' + nested(190) + "}]}")]
+    got = {(r.conv_id, r.turn): r for r in link_tools(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    for n in depths:
+        assert got[1, n].n_calls == 1 and ('"arguments":"[' in got[1, n].json) == (n > 200)
+    assert [got[2, n].n_calls for n in (1, 150, 201, 10_000)] == [1, 1, 0, 0] and got[3, 1].n_invalid == 0
