@@ -23,7 +23,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 WEAK_ID = r"(?i:\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,}+)"
 WEAK_SECRET = r"(?i:\b(?:pass(?:phrase)?|pwd|pin|auth|credential|private_?key|signature))[\"']?\x20*[:=]\x20*[\"']?([^\x20\x09-\x0D\"']{6,}+)"
 ENDPOINT = r"(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://([^\x20\x09-\x0D\"'<>]++)"
-#: Code points between the starts of two parts of one credential at most.
+#: Code points between the end of one part of a credential and the start of the next at most.
 SCOPE = 200
 
 
@@ -50,10 +50,14 @@ def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     base = F.concat(*[part(k) for k in role])
     parts = rows.where(F.size("id") + F.size("secret") + F.size("endpoint") > 0).select("rid", F.inline(base))
-    own = parts.where("weak").select("rid", "role", "start", "end", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / scope) + d)).alias("bin"))
-    other = parts.groupBy("rid", F.col("role").alias("other_role"), F.floor(F.col("start") / scope).alias("bin")).agg(F.min("start").alias("low"), F.max("start").alias("high"), F.sort_array(F.collect_set("start")).alias("starts"))
-    near = F.exists("starts", lambda s: F.abs(s - F.col("start")) <= scope)
-    linked = own.join(other, ["rid", "bin"]).where((F.col("role") != F.col("other_role")) & (F.col("low") <= F.col("end") + scope) & (F.col("high") >= F.col("start") - scope) & near)
+    # A part lies in every bin that it touches, a weak part looks into every bin that its scope touches.
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    own = parts.where("weak").select("rid", "role", "start", "end", bins(F.col("start") - scope, F.col("end") + scope).alias("bin"))
+    other = parts.select("rid", F.col("role").alias("other_role"), "start", "end", bins(F.col("start"), F.col("end")).alias("bin"))
+    other = other.groupBy("rid", "other_role", "bin").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.collect_set(F.struct("start", "end")).alias("held"))
+    reach = lambda start, end: (start <= F.col("end") + scope) & (end >= F.col("start") - scope)
+    near = (F.col("role") != F.col("other_role")) & reach(F.col("low"), F.col("high")) & F.exists("held", lambda x: reach(x["start"], x["end"]))
+    linked = own.join(other, ["rid", "bin"]).where(near)
     rank = F.when(F.col("role") == "id", 3).when(F.col("role") == "secret", 4).otherwise(5)
     return linked.select("rid", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("role").alias("kind")).alias("s")).groupBy("rid").agg(F.collect_set("s").alias("linked"))
 

@@ -129,15 +129,11 @@ def test_every_token_is_its_own_encoding():
 def test_topk_against_brute_force(spark):
     rows = [(i, [((i * 37 + j * 11) % 64 - 32) / 16 for j in range(8)]) for i in range(0, 400)] + [(400, None), (500, [1.0, None]), (600, [float("nan")]), (None, [1.0]), (100, [0.0] * 8), (700, [])]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)), candidates=64, queries=2).collect()
-    best: dict[int, list[int]] = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and x == x for x in v):
-            q = [int(1024 * x // 1) for x in v]
-            best[i] = min(best.get(i, q), q)
+    usable = [(i, [int(1024 * x // 1) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and x == x for x in v)]
     want = []
-    for i, v in best.items():
+    for at, (i, v) in enumerate(usable):
         if i % 100 == 0:
-            s = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in best.items() if j != i)[:10]
+            s = sorted((-sum(x * y for x, y in zip(v, w)), j) for other, (j, w) in enumerate(usable) if other != at)[:10]
             want += [(i, k + 1, j, -a) for k, (a, j) in enumerate(s)]
     assert sorted(tuple(r) for r in got) == sorted(want)
 
@@ -212,3 +208,27 @@ def test_pipeline_stages(spark):
             want = {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(a.doc_id, a.text, strict=True)}
             assert want == set(zip(b.doc_id, b.decoded_sha256, strict=True))
         before = after
+
+
+def test_parts_link_by_the_gap_between_them(spark):
+    """Against plain Python: a weak part is reported if a part of another role begins or ends within 200 code points of it."""
+    import random
+    import re
+
+    from corrgrid.llm import secrets as S
+
+    rng = random.Random(4)
+    texts = ["auth=" + "x" * 300 + " user=bob1", "f" * 250 + " " + "u" * 0 + "user=bob1", "auth=" + "y" * 5000 + " user=eve2", "user=far1 " + "-" * 190 + " pin=123456", "user=far1 " + "-" * 250 + " pin=123456"]
+    words = ["user=bob{}", "login: amy{}", "pin=12345{}", "auth=zzzz{}" + "z" * 260, "https://h{}.org/x", "password=abcdefgh{}", "AKIA0123456789ABCDE{}", "word" * 12, "w " * 60, "d" * 240]
+    texts += [" ".join(rng.choice(words).replace("{}", str(rng.randrange(9))) for _ in range(25)) for _ in range(60)]
+    patterns = {"assign": (S.ASSIGN, 2, lambda m: len(m[2]) >= 8), "access": (S.ACCESS, 0, lambda m: len(m[0]) >= 16), "hex": (S.HEX, 0, lambda m: True), "id": (S.WEAK_ID, 1, None), "secret": (S.WEAK_SECRET, 1, None), "endpoint": (S.ENDPOINT, 1, None)}
+    role = {"assign": "secret", "access": "id", "hex": "secret"}
+    got = {r.doc_id: r.spans for r in secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = 0
+    for i, t in enumerate(texts):
+        parts = [(k, *m.span()) for k, (p, _, ok) in patterns.items() for m in re.finditer(p, t, re.A) if ok is None or ok(m)]
+        kept = [(k, a, b) for k, a, b in parts if k in role or any(role.get(k2, k2) != k and a2 <= b + 200 and b2 >= a - 200 for k2, a2, b2 in parts)]
+        linked += sum(k not in role for k, _, _ in kept)
+        order = list(patterns)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(kept, key=lambda x: (x[1], order.index(x[0]), x[2]))), t
+    assert linked > 100 and "id:" in got[0] and "id:" in got[1] and "id:" in got[2] and "id:" in got[3] and "id:" not in got[4]
