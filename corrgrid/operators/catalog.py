@@ -24,7 +24,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with their image and sensor, metrics left-joined."""
     images = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("file_path"), F.col("c_nationkey").alias("sensor_id"))
     sensors = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sensor_id"), F.col("n_name").alias("sensor"))
-    return runs(spark, sf_dir).join(images, "image_id").join(F.broadcast(sensors), "sensor_id").select("run_id", "file_path", "sensor", "status", "num_matches", F.round("quality_score", 4).alias("quality_score"))
+    return runs(spark, sf_dir).join(images, "image_id").join(sensors, "sensor_id").select("run_id", "file_path", "sensor", "status", "num_matches", F.round("quality_score", 4).alias("quality_score"))
 
 
 def top_runs(r: DataFrame, least: int = 4, n: int = 10) -> DataFrame:

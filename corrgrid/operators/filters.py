@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrgrid.operators.points import project
+from corrgrid.operators.quantiles import percentiles
 from corrgrid.operators.raster import AT
 
 #: Fixed value: the five-tap smoothing kernel of an image pyramid, to be divided by 16.
@@ -120,7 +121,8 @@ def clahe(px: DataFrame, v: str, tile: int = 8, clip: float = 2.0) -> DataFrame:
 
 def shadow_mask(edges: DataFrame, v: str, gradient: str, low: float = 0.25, high: float = 0.75, grow: int = 1) -> DataFrame:
     """Pixels darker than the low percentile with a gradient above the high one, then grown by a square."""
-    p = edges.groupBy("image_id").agg(F.percentile(v, low).alias("dark"), F.percentile(F.abs(gradient), high).alias("steep"))
+    one = lambda value, share, name: percentiles(edges, ["image_id"], value, [share]).select("image_id", F.col("p")[0].alias(name))
+    p = one(v, low, "dark").join(one(F.abs(gradient), high, "steep"), "image_id")
     seed = edges.join(p, "image_id").where((F.col(v) < F.col("dark")) & (F.abs(gradient) > F.col("steep")))
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in range(-grow, grow + 1) for c in range(-grow, grow + 1)])
     grown = seed.select(*AT, F.inline(steps)).select("image_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).distinct()
@@ -202,8 +204,9 @@ def region_stats(found: DataFrame, px: DataFrame, v: str) -> DataFrame:
     asked = found.withColumn("row", y).withColumn("col", x)
     asked = asked.where((F.col("row") - F.col("cy")) * (F.col("row") - F.col("cy")) + (F.col("col") - F.col("cx")) * (F.col("col") - F.col("cx")) <= F.col("r") * F.col("r"))
     met = asked.join(px.where(F.col(v).isNotNull()).select(*AT, F.col(v).alias("v")), list(AT))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = met.groupBy("image_id", "cy", "cx", "r").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"), q.alias("q"), F.count(F.lit(1)).alias("size"))
+    circle = ["image_id", "cy", "cx", "r"]
+    g = met.groupBy(*circle).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("size"))
+    g = g.join(percentiles(met, circle, "v", (0.25, 0.5, 0.75)).withColumnRenamed("p", "q"), circle)
     return g.select("image_id", "cy", "cx", "r", "mean", "std", "low", "high", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "size")
 
 

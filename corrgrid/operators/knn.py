@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows per block of either side; a pair of blocks is one task's matrix product.
-BLOCK = 2_048
+BLOCK = 4_096
 
 
 def two_nearest(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each left vector its two nearest right ones by L2: id, nn, d1, d2 (ties to the smaller id).
 
-    Both sides are dealt into blocks; each pair of blocks keeps two per query, the merge keeps two in all.
+    A matrix product finds the candidates, with a slack above its rounding; they are ranked by the
+    lengths of the differences, so results do not depend on the blocks. Both sides are dealt into blocks; each pair of blocks keeps two per query, the merge keeps two in all.
     Vectors of one side must have one length.
     """
     n_left, n_right = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
@@ -26,13 +27,15 @@ def two_nearest(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFr
         ids, near, dist = [], [], []
         if x.num_rows and y.num_rows:
             p, q = np.array(x["v"].to_pylist(), float), np.array(y["v"].to_pylist(), float)
-            d = np.sqrt(np.maximum(((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) if len(p) * len(q) * p.shape[1] < 5e7 else (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T, 0))
-            other = np.array(y["id"])
-            top = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :2]
-            for k in range(top.shape[1]):
-                ids.append(np.array(x["id"]))
-                near.append(other[top[:, k]])
-                dist.append(d[np.arange(len(d)), top[:, k]])
+            pp, qq = (p**2).sum(1), (q**2).sum(1)
+            rough = pp[:, None] + qq[None] - 2 * p @ q.T
+            second = np.partition(rough, min(1, len(q) - 1), axis=1)[:, min(1, len(q) - 1)]
+            row, col = np.nonzero(rough <= (second + 1e-9 * (pp + qq.max() + 1e-300))[:, None])
+            d, other = np.sqrt(((p[row] - q[col]) ** 2).sum(axis=1)), np.array(y["id"])[col]
+            order = np.lexsort((other, d, row))
+            row, d, other = row[order], d[order], other[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < 2
+            ids, near, dist = [np.array(x["id"])[row[best]]], [other[best]], [d[best]]
         cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table([cat(ids, pa.int64()), cat(near, pa.int64()), cat(dist, pa.float64())], ["id", "nn", "d"])
 

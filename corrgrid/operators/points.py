@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrgrid.operators.quantiles import percentiles
+
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -31,18 +33,19 @@ def residual_stats(m: DataFrame, h: Sequence[float], inlier_px: float = 3.0) ->
     """Per pair: moments of the reprojection errors, sub-pixel and inlier shares."""
     e = m.withColumn("e", residual(h))
     n = F.count("e")
-    return e.groupBy("pair_id").agg(
-        n.alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean"), F.percentile("e", 0.5).alias("median"),
+    moments = e.groupBy("pair_id").agg(
+        n.alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean"),
         F.max("e").alias("max"), F.min("e").alias("min"), F.stddev_pop("e").alias("std"),
         F.count_if(F.col("e") < 1).alias("subpixel"), (F.count_if(F.col("e") < inlier_px) / F.greatest(n, F.lit(1))).alias("inlier_ratio"),
     )
+    return moments.join(percentiles(e, ["pair_id"], "e", [0.5]).select("pair_id", F.col("p")[0].alias("median")), "pair_id", "left")
 
 
 def residual_histogram(m: DataFrame, h: Sequence[float], bins: int = 20) -> DataFrame:
     """Counts of errors over [0, max(greatest error, 1)] per pair, the last bin closed on the right."""
     e = m.select("pair_id", residual(h).alias("e"))
     top = e.groupBy("pair_id").agg(F.greatest(F.max("e"), F.lit(1.0)).alias("top"))
-    return e.join(F.broadcast(top), "pair_id").groupBy("pair_id", F.least(F.floor(F.col("e") / F.col("top") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(top, "pair_id").groupBy("pair_id", F.least(F.floor(F.col("e") / F.col("top") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def decompose(h: Sequence[float]) -> tuple[Column, Column, Column, Column]:

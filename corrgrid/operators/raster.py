@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrgrid.operators.quantiles import percentiles
+
 AT = ("image_id", "row", "col")
 Tap = tuple[int, int, float]
 SOBEL_X: list[Tap] = [(-1, -1, -1), (0, -1, -2), (1, -1, -1), (-1, 1, 1), (0, 1, 2), (1, 1, 1)]
@@ -40,8 +42,7 @@ def box(px: DataFrame, sums: dict[str, Column], k: int) -> DataFrame:
 
 def stretch(px: DataFrame, v: str, lo: float, hi: float, half_up: bool) -> DataFrame:
     """Percentile stretch to 0..255 per image: rounding with invalid as 0, or the truncating variant."""
-    p = px.groupBy("image_id").agg(F.percentile(v, F.array(F.lit(lo), F.lit(hi))).alias("p"))
-    x = px.join(F.broadcast(p), "image_id")
+    x = px.join(percentiles(px, ["image_id"], v, (lo, hi)), "image_id")
     low, high = F.col("p")[0], F.col("p")[1]
     t = F.least(F.greatest((F.col(v) - low) / (F.nullif(high - low, F.lit(0.0)) if half_up else high - low + 1e-8), F.lit(0.0)), F.lit(1.0))
     return x.select(*AT, F.coalesce(F.floor(t * 255 + 0.5), F.lit(0)).cast("int").alias("u8") if half_up else F.floor(t * 255).cast("int").alias("u8"))
@@ -88,12 +89,13 @@ def mutual_information(df: DataFrame, bin_a: Column, bin_b: Column, log2: bool)
 def mutual_information_ranged(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
     """Natural-log mutual information over equal bins of each image's own range; 1e-8 keeps the products of marginals off zero."""
     own = Window.partitionBy("image_id")
+    ranges = df.groupBy("image_id").agg(*[f(v).alias(f"{end}_{v}") for v in (a, b) for f, end in ((F.min, "low"), (F.max, "high"))])
 
     def binned(v: str) -> Column:
-        low, high = F.min(v).over(own), F.max(v).over(own)
+        low, high = F.col(f"low_{v}"), F.col(f"high_{v}")
         return F.least(F.floor((F.col(v) - low) * float(bins) / F.nullif(high - low, F.lit(0))), F.lit(bins - 1))
 
-    j = df.select("image_id", binned(a).alias("i"), binned(b).alias("k")).groupBy("image_id", "i", "k").agg(F.count(F.lit(1)).alias("n"))
+    j = df.join(ranges, "image_id").select("image_id", binned(a).alias("i"), binned(b).alias("k")).groupBy("image_id", "i", "k").agg(F.count(F.lit(1)).alias("n"))
     share = lambda *k: F.sum("n").over(Window.partitionBy("image_id", *k)) / F.sum("n").over(own)
     j = j.select("image_id", (F.col("n") / F.sum("n").over(own)).alias("p"), share("i").alias("pi"), share("k").alias("pk"))
     return j.groupBy("image_id").agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("pi") * F.col("pk") + 1e-8))).alias("mi"))

@@ -31,7 +31,7 @@ def quad_tree(m: DataFrame, size: float, depth: int = 6, capacity: int = 4, keep
 def uniformity(m: DataFrame, footprint: DataFrame, size: float, cells: int = 8) -> DataFrame:
     """Coverage and normalised entropy over the cells whose footprint is at least half valid."""
     n = m.groupBy("pair_id", cell(F.col("x0"), size, cells).alias("cx"), cell(F.col("y0"), size, cells).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
-    n = n.join(F.broadcast(footprint.where("valid >= 0.5").select("cx", "cy")), ["cx", "cy"])
+    n = n.join(footprint.where("valid >= 0.5").select("cx", "cy"), ["cx", "cy"])
     whole = n.withColumn("total", F.sum("n").over(Window.partitionBy("pair_id")))
     p = F.col("n") / F.col("total")
     usable = footprint.agg(F.count_if(F.col("valid") >= 0.5).alias("cells"))
