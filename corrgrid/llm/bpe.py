@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import small_batches
+from corrgrid.llm.common import forget_lru, kept_in_workers, own_worker, small_batches
 
 #: Fixed value: the pre-tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,11 +179,14 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+kept_in_workers("bpe", lambda: forget_lru(codec))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -214,6 +217,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, id_col:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("bpe")
         c = codec(path)
         for batch in batches:
             for start, texts in _chunks(batch):
@@ -230,6 +234,7 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None, *, id_col: st
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("bpe")
         c, shown, decoded = codec(path), {}, {}
         for batch in batches:
             for start, texts in _chunks(batch):

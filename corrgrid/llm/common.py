@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+#: How each operator that keeps something in Python workers forgets it; True if there was something.
+_KEPT: dict[str, Callable[[], bool]] = {}
+
+
+def kept_in_workers(name: str, forget: Callable[[], bool]) -> None:
+    _KEPT[name] = forget
+
+
+def own_worker(name: str) -> None:
+    """At the start of a task: Python workers are used again by later jobs, so drop what other operators kept in this one."""
+    if any([forget() for other, forget in _KEPT.items() if other != name]):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if found := ctypes.util.find_library("c"):
+            trim = getattr(ctypes.CDLL(found), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+
+def forget_lru(cached) -> bool:  # noqa: ANN001  a function under lru_cache
+    used = cached.cache_info().currsize > 0
+    cached.cache_clear()
+    return used
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, small_batches, staged
+from corrgrid.llm.common import BROADCAST_IDS, broadcast_if_small, forget_lru, kept_in_workers, own_worker, small_batches, staged
 
 #: Tokens of a sequence at most, and the id that ends a document.
 WINDOW, END_ID = 4096, 2
@@ -123,6 +123,9 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+kept_in_workers("packing", lambda: forget_lru(words_of))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -267,6 +270,7 @@ def pieces_of(docs: DataFrame, path: str, *, id_col: str, text_col: str, window:
     """Every document's windows and rest: doc_id, start, length, ids, doc_tokens, task, nth of its length in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("packing")
         words, task, seen = words_of(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in _chunks(batches):
             flat, at = words.encode(batch.column(1), end_id)
