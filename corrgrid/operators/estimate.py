@@ -1,7 +1,7 @@
-"""Transforms per image pair from sums of products, robust fits and their checks.
+"""Transforms per image pair from sums of products, and their checks; robust.py has the robust fits.
 
 A pair's points are never gathered: aggregates reduce them to a few dozen sums, and one small matrix
-per pair is then solved. Robust fitting scores a fixed number of four-point hypotheses per pair.
+per pair is then solved.
 """
 
 from __future__ import annotations
@@ -10,14 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.operators.points import KEY, fit_affine
-from corrgrid.staging import discard, staged
+from corrgrid.operators.points import fit_affine
 
-#: Hypotheses per pair; with 40 % outliers the chance that none of 64 is clean is below 1e-3.
-HYPOTHESES = 64
 #: Second-smallest over greatest eigenvalue below which points do not fix a transform.
 DEGENERATE = 1e-13
 
@@ -113,70 +110,6 @@ def project_by(h: str, x: Column, y: Column) -> tuple[Column, Column]:
     return (at[0] * x + at[1] * y + at[2]) / w, (at[3] * x + at[4] * y + at[5]) / w
 
 
-def within(h: str, threshold: float) -> Column:
-    """Whether the projection error is below the threshold, without dividing: scoring runs it very often."""
-    at = [F.col(h)[i] for i in range(9)]
-    w = at[6] * F.col("x0") + at[7] * F.col("y0") + at[8]
-    dx = at[0] * F.col("x0") + at[1] * F.col("y0") + at[2] - F.col("x1") * w
-    dy = at[3] * F.col("x0") + at[4] * F.col("y0") + at[5] - F.col("y1") * w
-    return (F.pow(dx, 2) + F.pow(dy, 2) < F.pow(threshold * w, 2)) & (F.abs(w) >= 1e-12)
-
-
-def _solve_four(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for points in batch.column("points").to_pylist():
-            a, b = [], []
-            for p in points:
-                x, y, u, v = p["x0"], p["y0"], p["x1"], p["y1"]
-                a += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-                b += [u, v]
-            a = np.array(a, float)
-            good = a.shape == (8, 8) and np.isfinite(a).all() and np.linalg.cond(a) < 1e12
-            out.append([*np.linalg.solve(a, b).tolist(), 1.0] if good else None)
-        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), batch.column("hyp"), pa.array(out, pa.list_(pa.float64()))], ["pair_id", "hyp", "h"])
-
-
-def hypotheses(m: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """pair_id, hyp, h: up to n homographies through four different points each, chosen by hashes of their keys.
-
-    A pair of fewer than 4 n points is dealt into fours again, in another order, until it has n;
-    pairs of fewer than four points have none.
-    """
-    pick = Window.partitionBy("pair_id").orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    few = m.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= 4 * n)  # whole smaller pairs
-    fours = F.floor(F.count(F.lit(1)).over(Window.partitionBy("pair_id")) / 4).cast("int")
-    dealt = few.withColumn("fours", fours).where("fours > 0").withColumn("deal", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(n) / F.col("fours")).cast("int") - 1)))
-    again = Window.partitionBy("pair_id", "deal").orderBy(F.xxhash64(F.lit(seed) + F.col("deal"), *key), *key)
-    dealt = dealt.withColumn("rn", F.row_number().over(again)).where(F.col("rn") <= 4 * F.col("fours"))
-    chosen = dealt.withColumn("hyp", F.col("deal") * F.col("fours") + F.floor((F.col("rn") - 1) / 4).cast("int")).where(F.col("hyp") < n)
-    four = chosen.groupBy("pair_id", "hyp").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("points"))  # four points
-    return four.mapInArrow(_solve_four, "pair_id long, hyp int, h array<double>").where("h is not null")
-
-
-def robust_homography(m: DataFrame, *, key: Sequence[str] = KEY, threshold: float = 3.0, least: int = 12, n: int = HYPOTHESES, rounds: int = 2, seed: int = 0) -> DataFrame:
-    """pair_id, n, inliers, h, status: the best hypothesis by inliers, refitted on its inliers `rounds` times.
-
-    Status is success, insufficient_matches (fewer than `least` inliers) or error (no usable
-    hypothesis); pairs never fail the job. Each point meets `n` matrices of its pair, and only counts
-    are shuffled. Hypotheses and fits, one small table each, are staged so that no round repeats them.
-    """
-    hyps = staged(hypotheses(m, key, n, seed))
-    at = m.select("pair_id", "x0", "y0", "x1", "y1")
-    scored = at.join(hyps, "pair_id").where(within("h", threshold)).groupBy("pair_id", "hyp").agg(F.count(F.lit(1)).alias("votes"))
-    best = scored.groupBy("pair_id").agg(F.max(F.struct("votes", (-F.col("hyp")).alias("hyp"))).alias("b")).select("pair_id", (-F.col("b.hyp")).alias("hyp"))
-    fit = staged(best.join(hyps, ["pair_id", "hyp"]).select("pair_id", "h"))
-    for _ in range(rounds):
-        near = at.join(fit, "pair_id").where(within("h", threshold))
-        again = fit_homography(near.drop("h")).select("pair_id", F.col("h").alias("refit"))
-        last, fit = fit, staged(fit.join(again, "pair_id", "left").select("pair_id", F.coalesce("refit", "h").alias("h")))
-        discard(last)
-    discard(hyps)
-    final = at.join(fit, "pair_id", "left").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(within("h", threshold)).alias("inliers"), F.first("h").alias("h"))
-    status = F.when(F.col("h").isNull(), "error").when(F.col("inliers") < least, "insufficient_matches").otherwise("success")
-    return final.select("pair_id", "n", "inliers", "h", status.alias("status"))
-
-
 def _solve_polynomial(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = np.triu_indices(size)

@@ -124,14 +124,25 @@ def otsu(px: DataFrame, v: str) -> DataFrame:
 
 
 def match_histogram(px: DataFrame, source: str, target: str) -> DataFrame:
-    """Each source level goes to the smallest target level whose cumulative share reaches its own."""
+    """Each source level goes to where its cumulative share lies among the target's, interpolated between
+    neighbouring target levels; shares beyond the target's ends go to its end levels."""
     def cdf(v: str, level: str, share: str) -> DataFrame:
         h = px.where(F.col(v).isNotNull()).groupBy("image_id", F.col(v).alias(level)).agg(F.count(F.lit(1)).alias("n"))
         run = F.sum("n").over(Window.partitionBy("image_id").orderBy(level)) / F.sum("n").over(Window.partitionBy("image_id"))
         return h.select("image_id", level, run.alias(share))
 
-    s, t = cdf(source, "level", "ps"), cdf(target, "to", "pt")
-    return s.join(t, "image_id").where("pt >= ps").groupBy("image_id", "level").agg(F.min("to").alias("mapped"))
+    s, t = cdf(source, "level", "share"), cdf(target, "level", "share")
+    # Both running shares in one order, target levels first where they are equal: each source level finds
+    # the target levels on both sides of it. An image has no more rows here than levels.
+    both = t.withColumn("is_source", F.lit(0)).unionByName(s.withColumn("is_source", F.lit(1)))
+    at = F.when(F.col("is_source") == 0, F.struct("share", "level"))
+    order = Window.partitionBy("image_id").orderBy("share", "is_source", "level")
+    low = F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = both.select("image_id", "level", "share", "is_source", low.alias("low"), high.alias("high")).where("is_source = 1 and (low is not null or high is not null)")
+    part = (F.col("share") - F.col("low.share")) / F.nullif(F.col("high.share") - F.col("low.share"), F.lit(0.0))
+    mapped = F.when(F.col("low").isNull(), F.col("high.level")).when(F.col("high").isNull(), F.col("low.level")).otherwise(F.col("low.level") + F.coalesce(part, F.lit(0.0)) * (F.col("high.level") - F.col("low.level")))
+    return met.select("image_id", "level", mapped.cast("double").alias("mapped"))
 
 
 def equalise(px: DataFrame, v: str, tile: int = 8, clip: float = 2.0) -> DataFrame:

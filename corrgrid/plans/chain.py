@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrgrid.functions import geo
-from corrgrid.operators import catalog, exports, frames, matching, points, raster
+from corrgrid.operators import catalog, estimate, exports, frames, matching, points, raster
 from corrgrid.plans import imaging, queries
 from corrgrid.plans.registry import ORACLES, query, rounded
 from corrgrid.sources.derived import H_TRUE, MATCHES_SQL, PIXELS_SQL, matches, pixels, read
@@ -75,6 +75,22 @@ def footprint_gsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("image_id", frames.box_gsd().alias("by_box")).join(by_corners, "image_id"), 3)
 
 
+@query("harmonised_frames", _CORNERS + """, r AS (SELECT image_id, corner, x, y, ((lon + 0.01 * lat) - (min_lon - 0.5)) / ((max_lon - min_lon) / 1000) AS col, ((max_lat + 0.25) - lat) / ((max_lat - min_lat) / 800) AS row,
+        (image_id % 9 + 1) / 5.0::DOUBLE AS sg, (image_id % 4 + 1) / 2.0::DOUBLE AS rg FROM k JOIN g USING (image_id)), f AS (SELECT *, greatest(sg, rg) AS gsd FROM r)
+    SELECT image_id, corner, round(col, 3) AS col, round(row, 3) AS row, round((col + 0.5) / (gsd / rg) - 0.5, 3) AS small_col, round((row + 0.5) / (gsd / rg) - 0.5, 3) AS small_row, round(gsd, 3) AS matching_gsd, round(rg / sg, 3) AS scale_ratio FROM f""")
+def harmonised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's corners through its prior homography, at full size and in the common frame."""
+    g = imaging._grid(spark, sf_dir)
+    corners = frames.corner_pixels(g).withColumn("lon", F.col("lon") + 0.01 * F.col("lat"))  # sheared against the map
+    reference = g.select("image_id", ((F.col("max_lon") - F.col("min_lon")) / 1000).alias("gsd_lon"), ((F.col("max_lat") - F.col("min_lat")) / 800).alias("gsd_lat"), (F.col("min_lon") - 0.5).alias("lon0"), (F.col("max_lat") + 0.25).alias("lat0"))
+    distances = g.select("image_id", ((F.col("image_id") % 9 + 1) / 5.0).alias("source_gsd"), ((F.col("image_id") % 4 + 1) / 2.0).alias("reference_gsd"))
+    common = frames.harmonise(distances.join(frames.prior_homography(corners, reference), "image_id"))
+    at = corners.join(common, "image_id")
+    small = lambda c: (F.col(c) + 0.5) / F.col("source_factor") - 0.5
+    (col, row), (small_col, small_row) = estimate.project_by("prior", F.col("x"), F.col("y")), estimate.project_by("h0", small("x"), small("y"))
+    return rounded(at.select("image_id", "corner", col.alias("col"), row.alias("row"), small_col.alias("small_col"), small_row.alias("small_row"), "matching_gsd", "scale_ratio"), 3)
+
+
 @query("padded_box", _BOX + " SELECT image_id, round((min_lon+max_lon)/2,4) AS lon, round((min_lat+max_lat)/2,4) AS lat, round(greatest(-180,min_lon-(max_lon-min_lon)*0.1),4) AS min_lon, round(greatest(-90,min_lat-(max_lat-min_lat)*0.1),4) AS min_lat, round(least(180,max_lon+(max_lon-min_lon)*0.1),4) AS max_lon, round(least(90,max_lat+(max_lat-min_lat)*0.1),4) AS max_lat FROM g")
 def padded_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2

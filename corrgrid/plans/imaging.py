@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrgrid.functions import geo
-from corrgrid.operators import catalog, estimate, exports, filters, knn, points, raster
+from corrgrid.operators import catalog, estimate, exports, filters, knn, points, raster, robust
 from corrgrid.plans.queries import _E, _SOBEL, _SUMS, _sobel
 from corrgrid.plans.registry import query, rounded
 from corrgrid.sources.derived import H_TRUE, MATCHES_SQL, PIXELS_SQL, descriptors, matches, pixels, read
@@ -211,9 +211,23 @@ def fit_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.fit_homography(matches(spark, sf_dir))
 
 
-@query("robust_homography")
+_BAD = "(l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 5 < 2"
+
+
+@query("robust_homography", f"{_M} SELECT pair_id, count(*) AS n, count_if({_BAD}) AS outliers, 'success' AS status, TRUE AS near_truth, TRUE AS inliers_found FROM m GROUP BY pair_id")
 def robust_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate.robust_homography(matches(spark, sf_dir))
+    """Two fifths of the matches go elsewhere; the fit must come within half a pixel of the true corners and find the others."""
+    bad = F.expr(_BAD)
+    far = lambda x, a, b: F.when(bad, (F.col("l_partkey") * a + F.col("l_orderkey") * b) % 1000).otherwise(F.col(x)).alias(x)
+    m = matches(spark, sf_dir).select("pair_id", *_ROW_KEY, "x0", "y0", far("x1", 7919, 104729), far("y1", 6101, 15731), bad.alias("bad"))
+    fit = robust.robust_fit(m, key=_ROW_KEY, canvas=(1000.0, 1000.0))
+    corners = []
+    for x, y in ((0.0, 0.0), (1000.0, 0.0), (0.0, 1000.0), (1000.0, 1000.0)):
+        (px, py), (tx, ty) = estimate.project_by("h", F.lit(x), F.lit(y)), points.project(F.lit(x), F.lit(y), H_TRUE)
+        corners.append(F.sqrt((px - tx) * (px - tx) + (py - ty) * (py - ty)))
+    expected = m.groupBy("pair_id").agg(F.count_if("bad").alias("outliers"))
+    good = F.col("n") - F.col("outliers")
+    return fit.join(expected, "pair_id").select("pair_id", "n", "outliers", "status", (F.greatest(*corners) < 0.5).alias("near_truth"), F.col("inliers").between(good - 1, good + 3 + F.col("n") * 0.01).alias("inliers_found"))
 
 
 @query("fit_polynomial")

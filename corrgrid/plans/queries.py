@@ -207,9 +207,9 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CDF = ", g AS (SELECT image_id, a AS level, count(*) n FROM px WHERE a IS NOT NULL GROUP BY image_id, a), k AS (SELECT image_id, b AS \"to\", count(*) n FROM px GROUP BY image_id, b), s AS (SELECT image_id, level, sum(n) OVER (PARTITION BY image_id ORDER BY level)/sum(n) OVER (PARTITION BY image_id) ps FROM g), t AS (SELECT image_id, \"to\", sum(n) OVER (PARTITION BY image_id ORDER BY \"to\")/sum(n) OVER (PARTITION BY image_id) pt FROM k)"
 
 
-@query("match_histogram", _P + _CDF + " SELECT s.image_id, level, min(\"to\") AS mapped FROM s JOIN t ON s.image_id=t.image_id AND pt>=ps GROUP BY ALL")
+@query("match_histogram", _P + _CDF + ", m AS (SELECT s.image_id, level, ps, max(CASE WHEN pt<=ps THEN pt END) lp, max(CASE WHEN pt<=ps THEN \"to\" END) lt, min(CASE WHEN pt>ps THEN pt END) hp, min(CASE WHEN pt>ps THEN \"to\" END) ht FROM s JOIN t ON s.image_id=t.image_id GROUP BY ALL) SELECT image_id, level, round(CASE WHEN lp IS NULL THEN ht WHEN hp IS NULL THEN lt ELSE lt+(ps-lp)/(hp-lp)*(ht-lt) END, 4)::DOUBLE AS mapped FROM m")
 def match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.match_histogram(pixels(spark, sf_dir), "a", "b")
+    return rounded(raster.match_histogram(pixels(spark, sf_dir), "a", "b"))
 
 
 @query("equalise_tiles", _P + ", h AS (SELECT image_id, floor(row/8)::BIGINT ty, floor(col/8)::BIGINT tx, a AS level, count(*) n FROM px WHERE a IS NOT NULL GROUP BY ALL), k AS (SELECT *, sum(n) OVER w area FROM h WINDOW w AS (PARTITION BY image_id,ty,tx)), c AS (SELECT *, least(n,greatest(floor(2.0*area/256),1)) kept FROM k), r AS (SELECT *, sum(kept) OVER (PARTITION BY image_id,ty,tx ORDER BY level) + sum(n-kept) OVER (PARTITION BY image_id,ty,tx)*(level+1)/256.0 run FROM c) SELECT image_id, ty, tx, level, floor(255*run/area+0.5)::BIGINT AS out FROM r")
