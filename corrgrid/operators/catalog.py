@@ -71,9 +71,9 @@ def pair_with(images: DataFrame, key: str, references: Sequence[int]) -> DataFra
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
-    """Upsert: of the rows with one key the latest stays, the new one on ties."""
+    """Upsert: of the rows with one key the latest stays, the new one on ties, and of equal ones that with the greatest content."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(stamp), F.desc("_new"))
+    w = Window.partitionBy(key).orderBy(F.desc(stamp), F.desc("_new"), F.desc(F.to_json(F.struct(*old.columns))))
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
@@ -100,11 +100,11 @@ def first_completed(r: DataFrame, key: str, n: int = 2) -> DataFrame:
     return r.where("status = 'success'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def log_run(runs: DataFrame, metrics: DataFrame, matches: DataFrame, root: str) -> None:
-    """Append runs with their metrics and matches to the catalog's tables. Runs come last: a reader that
-    starts from them never sees one whose metrics or matches are still missing."""
-    for name, df in (("matches", matches), ("metrics", metrics), ("runs", runs)):
-        df.write.mode("append").parquet(f"{root}/{name}")
+def log_run(runs: DataFrame, metrics: DataFrame, matches: DataFrame, root: str, token: str | None = None) -> int:
+    """Append runs with their metrics and matches to the catalog as one commit; see sources.snapshots."""
+    from corrgrid.sources.snapshots import Catalog
+
+    return Catalog(runs.sparkSession, root).append({"runs": runs, "metrics": metrics, "matches": matches}, token=token)
 
 
 def list_datasets(uploads: DataFrame, samples: DataFrame) -> DataFrame:
@@ -113,6 +113,6 @@ def list_datasets(uploads: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def fetch(listing: DataFrame, key: str) -> DataFrame:
-    """One row per key: uploads before samples."""
-    w = Window.partitionBy(key).orderBy(F.desc("origin"))
+    """One row per key: uploads before samples; of one origin the row with the least content."""
+    w = Window.partitionBy(key).orderBy(F.desc("origin"), F.to_json(F.struct(*[c for c in listing.columns if c != key])))
     return listing.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
