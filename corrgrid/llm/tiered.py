@@ -33,7 +33,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The same by UTF-8 bytes: separators become spaces, capitals small letters.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Share of all postings in the first tier, in the first two, and so on; any cuts give the same result.
-SHARES = (1 / 64, 1 / 16, 1 / 4)
+SHARES = (1 / 4, 3 / 4, 15 / 16)
 #: Documents of a shard, and terms of a block of items (with repeats).
 SHARD, BLOCK_TERMS = 4_096, 200_000
 #: Groups of shards whose best are merged before those of an item are.
