@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import forget_lru, kept_in_workers, own_worker, small_batches
+from corrgrid.llm.common import forget_lru, kept_in_workers, own_worker, small_batches, trim
 
 #: Fixed value: the pre-tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,7 +181,9 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    trim()  # what reading the vocabulary took
+    return made
 
 
 kept_in_workers("bpe", lambda: forget_lru(codec))

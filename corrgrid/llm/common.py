@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 import gc
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +38,27 @@ def kept_in_workers(name: str, forget: Callable[[], bool]) -> None:
 
 
 def own_worker(name: str) -> None:
-    """At the start of a task: Python workers are used again by later jobs, so drop what other operators kept in this one."""
+    """At the start of a task: Python workers are used again by later jobs, so drop what other operators kept in
+    this one, and give back what the last task freed."""
     if any([forget() for other, forget in _KEPT.items() if other != name]):
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if found := ctypes.util.find_library("c"):
-            trim = getattr(ctypes.CDLL(found), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+    trim()
+
+
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := _malloc_trim()) is not None:
+        give_back(0)
 
 
 def forget_lru(cached) -> bool:  # noqa: ANN001  a function under lru_cache

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrgrid.llm.common import small_batches, staged
+from corrgrid.llm.common import own_worker, small_batches, staged
 
 #: Labelled rows that the classifier is fitted on at most (smallest hashes of doc_id first).
 TRAIN_ROWS = 20_000
@@ -61,6 +61,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """gram, n: counts of character class trigrams over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
             for raw in batch.column("raw").to_pylist():
@@ -232,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(lm)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         held: Counter = Counter()
         seen: dict[bytes, list[str]] = {}
 
