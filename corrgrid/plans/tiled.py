@@ -1,4 +1,4 @@
-"""Queries on large rasters: tiles with halo exchange, and products written and read as labelled arrays."""
+"""Queries on large rasters (tiles with halo exchange, products as labelled arrays) and registration of whole pairs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrgrid.operators import subpixel, tiles
+from corrgrid.operators import points, register, subpixel, tiles
 from corrgrid.plans.registry import query
 from corrgrid.sources import arrays
-from corrgrid.sources.derived import LARGE_SQL, large_tiles
+from corrgrid.sources.derived import H_TRUE, LARGE_SQL, large_tiles
 from corrgrid.staging import shared_dir
 
 _L = f"WITH {LARGE_SQL}"
@@ -90,3 +90,20 @@ def template_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = subpixel.refine(m, t, t).join(m, "m")
     wrong = (F.col("status") == "edge") | ((F.col("status") == "refined") & ((F.abs(F.col("rx") - F.col("x0")) > 0.5) | (F.abs(F.col("ry") - F.col("y0")) > 0.5)))
     return found.groupBy((F.col("m") % 4).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"))
+
+
+@query("register_pairs", """WITH n AS (SELECT vec_id % 4 AS image, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL)
+    SELECT image AS pair_id, n AS n_matches, n AS inliers, 'success' AS status, TRUE AS near_truth FROM n
+    UNION ALL SELECT 4 + image, 0, 0, 'insufficient_matches', NULL FROM n UNION ALL SELECT 8, 0, 0, 'no_features', NULL""")
+def register_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four images and their projected likenesses: each pair of an image and its own likeness, and four wrong pairs."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") % 4).alias("image_id"), F.col("vec_id").alias("kp_id"), ((F.col("vec_id") * 37) % 997).cast("double").alias("x"), ((F.col("vec_id") * 101) % 991).cast("double").alias("y"), F.col("embedding").alias("v"))
+    px, py = points.project(F.col("x"), F.col("y"), H_TRUE)
+    features = e.unionByName(e.select((F.col("image_id") + 10).alias("image_id"), "kp_id", px.alias("x"), py.alias("y"), "v"))
+    own = e.select("image_id").distinct()
+    pairs = own.select(F.col("image_id").alias("pair_id"), F.col("image_id").alias("source_id"), (F.col("image_id") + 10).alias("reference_id"))
+    wrong = own.select((F.col("image_id") + 4).alias("pair_id"), F.col("image_id").alias("source_id"), ((F.col("image_id") + 1) % 4 + 10).alias("reference_id"))
+    none = spark.range(1).select(F.lit(8).cast("long").alias("pair_id"), F.lit(0).cast("long").alias("source_id"), F.lit(99).cast("long").alias("reference_id"))
+    got = register.register_pairs(pairs.unionByName(wrong).unionByName(none), features, canvas=(1000.0, 1000.0))
+    worst = F.greatest(*[F.abs(F.col("h")[i] - h) for i, h in enumerate(H_TRUE)])
+    return got.select("pair_id", "n_matches", "inliers", "status", F.when(F.col("h").isNotNull(), worst < 1e-4).alias("near_truth"))
