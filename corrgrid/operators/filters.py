@@ -230,8 +230,8 @@ def image_stats(px: DataFrame, v: str) -> DataFrame:
     return px.groupBy("image_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
-def min_max(px: DataFrame, v: str) -> DataFrame:
-    """Each image's own range stretched to 0..255; an image of one level gives 0."""
+def min_max(px: DataFrame, v: str, flat: float | None = 0.0) -> DataFrame:
+    """Each image's own range stretched to 0..255; an image of one level gives `flat` (0 or NULL)."""
     p = px.groupBy("image_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     t = (F.col(v) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0))
-    return px.join(p, "image_id").select(*AT, F.when(F.col(v).isNotNull(), F.floor(F.coalesce(t, F.lit(0.0)) * 255 + 0.5)).alias("v"))
+    return px.join(p, "image_id").select(*AT, F.when(F.col(v).isNotNull(), F.floor(F.coalesce(t, F.lit(flat).cast("double")) * 255 + 0.5)).alias("v"))

@@ -159,7 +159,7 @@ def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gradient_zncc", _P + queries._SOBEL + " SELECT image_id, round(corr(sqrt(gx*gx+gy*gy), sqrt(hx*hx+hy*hy)),4) AS zncc FROM s GROUP BY image_id")
 def gradient_zncc(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda x, y: F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
-    return rounded(raster.correlation(queries._sobel(spark, sf_dir).select("image_id", size("gx", "gy").alias("g"), size("hx", "hy").alias("h")), "g", "h").select("image_id", "zncc"))
+    return rounded(raster.correlation(queries._sobel(spark, sf_dir).select("image_id", size("gx", "gy").alias("g"), size("hx", "hy").alias("h")), "g", "h", flat=queries.NAN).select("image_id", "zncc"))
 
 
 _BIN = "least(floor(({v}-min({v}) OVER w)*256.0::DOUBLE/nullif(max({v}) OVER w-min({v}) OVER w,0)),255)::BIGINT"
