@@ -29,8 +29,8 @@ def point_rmse(m: DataFrame) -> DataFrame:
     return m.groupBy("pair_id").agg(F.sqrt(F.avg(dx * dx + dy * dy)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
-def residual_stats(m: DataFrame, h: Sequence[float], inlier_px: float = 3.0) -> DataFrame:
-    """Per pair: moments of the reprojection errors, sub-pixel and inlier shares."""
+def residual_stats(m: DataFrame, h: Sequence[float], inlier_px: float = 3.0, median: bool = True) -> DataFrame:
+    """Per pair: moments of the reprojection errors, sub-pixel and inlier shares; one aggregate but for the median."""
     e = m.withColumn("e", residual(h))
     n = F.count("e")
     moments = e.groupBy("pair_id").agg(
@@ -38,6 +38,8 @@ def residual_stats(m: DataFrame, h: Sequence[float], inlier_px: float = 3.0) ->
         F.max("e").alias("max"), F.min("e").alias("min"), F.stddev_pop("e").alias("std"),
         F.count_if(F.col("e") < 1).alias("subpixel"), (F.count_if(F.col("e") < inlier_px) / F.greatest(n, F.lit(1))).alias("inlier_ratio"),
     )
+    if not median:
+        return moments
     return moments.join(percentiles(e, ["pair_id"], "e", [0.5]).select("pair_id", F.col("p")[0].alias("median")), "pair_id", "left")
 
 
