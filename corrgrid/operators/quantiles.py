@@ -30,8 +30,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: Column | str, shares:
     """
     v = F.col(value) if isinstance(value, str) else value
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], v.cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    rows = staged(rows)  # each round reads keys and values alone instead of computing them anew
+    # Each round reads keys and values alone. The filter comes after: pushed below, it would repeat the value's expression.
+    held = staged(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], v.cast("double").alias("_v")))
+    rows = held.where("_v is not null and not isnan(_v)")
     bounds = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     place = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
     wanted = F.array(*[F.struct(F.lit(2 * i + up).alias("slot"), (F.ceil(p) if up else F.floor(p)).cast("long").alias("rank")) for i, p in enumerate(place) for up in (0, 1)])
@@ -60,7 +61,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: Column | str, shares:
         moved = joined.where((rank_in < F.col("upto")) & (rank_in >= F.col("upto") - F.col("c.c"))).select(*[F.col(f"o.{n}").alias(n) for n in names], "o.n", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), (F.col("below") + F.col("upto") - F.col("c.c")).alias("below"), "slot", "rank")
         last, state = state, staged(state.where("lo >= hi").unionByName(moved))
         discard(last)
-    discard(rows)
+    discard(held)
     found = state.groupBy(*names, "n").agg(F.map_from_entries(F.collect_list(F.struct("slot", "lo"))).alias("at"))  # two slots per share
     part = [p - F.floor(p) for p in place]
     low, high = (lambda i: F.element_at("at", F.lit(2 * i))), (lambda i: F.element_at("at", F.lit(2 * i + 1)))
