@@ -1,15 +1,17 @@
 """Sub-pixel refinement of matches by template correlation on tiled rasters.
 
-A match asks for a patch around its source point and a larger one around its reference point. Both
-requests meet the tiles that they touch in an equi-join on the tile's key; a tile cuts out only what is
-asked, so images never travel to points. Crowded tiles are dealt over several tasks. The parts of a
-match's two patches then meet by its key, and one correlation surface per match gives the peak and,
-by a parabola through it and its neighbours on each axis, its fraction.
+Matches whose source points share a cell, and whose displacement is about the same, share one region of
+the source and one of the reference, so that what is shuffled grows with the images and not with the
+patches of all matches. Where a cell has few matches each has regions of its own, no larger than its
+patches. Regions meet the tiles that they touch in an equi-join on the tile's key; a tile cuts out only
+what is asked. Crowded tiles and regions are dealt over several tasks. Matches then meet the parts of
+their regions, and one correlation surface per match gives the peak and, by a parabola through it and
+its neighbours on each axis, its fraction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,40 +20,53 @@ from pyspark.sql import functions as F
 
 from corrgrid.operators.tiles import KEY, TILE, packed
 
-#: Points that one task cuts out of one copy of a tile.
+#: Regions that one task cuts out of one copy of a tile, and matches that meet one copy of a region.
 CROWD = 20_000
-_PART = "m long, row0 int, col0 int, rows int, cols int, data binary"
+#: Side of the cells whose matches share regions, and matches below which each has its own.
+CELL, FEW = 128, 48
+REGION = ["image_id", "sy", "sx", "dy", "dx", "few", "own"]
+_REGION = [*((n, pa.int64()) for n in REGION[:5]), ("few", pa.bool_()), ("own", pa.int64())]
+_PART = [*_REGION, *((n, pa.int32()) for n in ("deals", "side", "row0", "col0", "rows", "cols")), ("data", pa.binary())]
 
 
-def _parts(asked: DataFrame, tiles: DataFrame, half: int, tile: int) -> DataFrame:
-    """m, parts: what the tiles hold of the squares of side 2 half + 1 around (cy, cx) of image_id."""
-    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / tile).cast("int"), F.floor((F.col(c) + half) / tile).cast("int")))
-    keyed = asked.select("m", "image_id", "cy", "cx", reach("cy").alias("ty")).select("*", reach("cx").alias("tx"))
-    crowd = keyed.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("deals"))
-    keyed = keyed.join(crowd, KEY).withColumn("deal", F.pmod(F.xxhash64("m"), F.col("deals")).cast("int"))
-    held = tiles.join(crowd, KEY).select(*KEY, "rows", "cols", "data", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+def _ddl(fields: Sequence[tuple[str, pa.DataType]]) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{n} {names[t]}" for n, t in fields)
 
-    def cut(points: pa.Table, found: pa.Table) -> pa.Table:
+
+def _parts(whole: DataFrame, tiles: DataFrame, side: int, half: int, tile: int) -> DataFrame:
+    """What the tiles hold of each region: the rectangle of its points on one side and `half` more pixels around it."""
+    at = lambda f, c, by: (f(f"{c}{side}") + by).alias(f"{'r' if c == 'cy' else 'c'}{int(by > 0)}")
+    asked = whole.groupBy(*REGION).agg(F.first("deals").alias("deals"), *[at(f, c, by) for c in ("cy", "cx") for f, by in ((F.min, -half), (F.max, half + 1))])
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile).cast("int"), F.floor((F.col(high) - 1) / tile).cast("int")))
+    keyed = asked.select("*", reach("r0", "r1").alias("ty")).select("*", reach("c0", "c1").alias("tx"))
+    crowd = keyed.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("copies"))
+    keyed = keyed.join(crowd, KEY).withColumn("copy", F.pmod(F.xxhash64(*REGION), F.col("copies")).cast("int"))
+    held = tiles.join(crowd, KEY).select(*KEY, "rows", "cols", "data", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+
+    def cut(regions: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        if points.num_rows and found.num_rows:
+        if regions.num_rows and found.num_rows:
             t = found.slice(0, 1).to_pylist()[0]
             a, top, left = np.frombuffer(t["data"], "<f4").reshape(t["rows"], t["cols"]), t["ty"] * tile, t["tx"] * tile
-            for p in points.select(["m", "cy", "cx"]).to_pylist():
-                r0, r1, c0, c1 = max(p["cy"] - half, top), min(p["cy"] + half + 1, top + t["rows"]), max(p["cx"] - half, left), min(p["cx"] + half + 1, left + t["cols"])
+            for p in regions.to_pylist():
+                r0, r1, c0, c1 = max(p["r0"], top), min(p["r1"], top + t["rows"]), max(p["c0"], left), min(p["c1"], left + t["cols"])
                 if r0 < r1 and c0 < c1:
-                    out.append({"m": p["m"], "row0": r0, "col0": c0, "rows": r1 - r0, "cols": c1 - c0, "data": packed(a[r0 - top : r1 - top, c0 - left : c1 - left])})
-        return pa.Table.from_pylist(out, pa.schema([("m", pa.int64()), *((n, pa.int32()) for n in ("row0", "col0", "rows", "cols")), ("data", pa.binary())]))
+                    out.append({**{n: p[n] for n in (*REGION, "deals")}, "side": side, "row0": r0, "col0": c0, "rows": r1 - r0, "cols": c1 - c0, "data": packed(a[r0 - top : r1 - top, c0 - left : c1 - left])})
+        return pa.Table.from_pylist(out, pa.schema(_PART))
 
-    cuts = keyed.groupBy(*KEY, "deal").cogroup(held.groupBy(*KEY, "deal")).applyInArrow(cut, _PART)
-    return cuts.groupBy("m").agg(F.collect_list(F.struct("row0", "col0", "rows", "cols", "data")).alias("parts"))  # the tiles that a patch touches
+    return keyed.groupBy(*KEY, "copy").cogroup(held.groupBy(*KEY, "copy")).applyInArrow(cut, _ddl(_PART))
 
 
-def _patch(parts: Sequence[dict] | None, cy: int, cx: int, half: int) -> np.ndarray:
-    a = np.full((2 * half + 1, 2 * half + 1), np.nan)
-    for p in parts or ():
-        r, c = p["row0"] - cy + half, p["col0"] - cx + half
-        a[r : r + p["rows"], c : c + p["cols"]] = np.frombuffer(p["data"], "<f4").reshape(p["rows"], p["cols"])
-    return a
+def _joined(points: Sequence[dict], parts: Sequence[dict], side: int, half: int) -> tuple[np.ndarray, int, int]:
+    """A region with room for all patches of its points, no data where no tile is, and its first row and column."""
+    ends = lambda c, start, n: (min([p[f"{c}{side}"] - half for p in points] + [q[start] for q in parts]), max([p[f"{c}{side}"] + half + 1 for p in points] + [q[start] + q[n] for q in parts]))
+    (r0, r1), (c0, c1) = ends("cy", "row0", "rows"), ends("cx", "col0", "cols")
+    a = np.full((r1 - r0, c1 - c0), np.nan)
+    for q in parts:
+        r, c = q["row0"] - r0, q["col0"] - c0
+        a[r : r + q["rows"], c : c + q["cols"]] = np.frombuffer(q["data"], "<f4").reshape(q["rows"], q["cols"])
+    return a, r0, c0
 
 
 def surface(template: np.ndarray, window: np.ndarray, centred: bool) -> np.ndarray:
@@ -88,16 +103,19 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, *, key:
     """
     at = lambda c: F.floor(F.col(c) + 0.5).cast("int")
     m = matches.select(F.col(key).cast("long").alias("m"), F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    whole = m.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
-    a = _parts(whole.select("m", "image_id", at("y0").alias("cy"), at("x0").alias("cx")), source, radius, tile).withColumnRenamed("parts", "a")
-    b = _parts(whole.select("m", "image_id", at("y1").alias("cy"), at("x1").alias("cx")), reference, radius + search, tile).withColumnRenamed("parts", "b")
-
-    def one(r: dict) -> tuple[float | None, float | None, float | None, str]:
-        if None in (r["x0"], r["y0"], r["x1"], r["y1"]):
-            return None, None, None, "clipped"
-        near = lambda v: int(np.floor(v + 0.5))
-        sx, sy, dx, dy = near(r["x0"]), near(r["y0"]), near(r["x1"]), near(r["y1"])
-        template, window = _patch(r["a"], sy, sx, radius), _patch(r["b"], dy, dx, radius + search)
+    known = F.col("image_id").isNotNull() & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    placed = m.where(known).select("*", *[at(f"{v}{i}").alias(f"c{v}{i}") for v in "yx" for i in (0, 1)])
+    cell = [*[F.floor(F.col(f"c{v}0") / CELL).alias(f"s{v}") for v in "yx"], *[F.floor((F.col(f"c{v}1") - F.col(f"c{v}0")) / CELL + 0.5).alias(f"d{v}") for v in "yx"]]
+    placed = placed.select("*", *cell)
+    counts = placed.groupBy(*REGION[:5]).agg(F.count(F.lit(1)).alias("n"))
+    few = F.col("n") < FEW
+    whole = placed.join(counts, REGION[:5]).select("*", few.alias("few"), F.when(few, F.col("m")).otherwise(0).alias("own"), F.ceil(F.col("n") / CROWD).cast("int").alias("deals"))
+    whole = whole.withColumn("deal", F.pmod(F.xxhash64("m"), F.col("deals")).cast("int"))
+    parts = _parts(whole, source, 0, radius, tile).unionByName(_parts(whole, reference, 1, radius + search, tile))
+    parts = parts.select(*REGION, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "side", "row0", "col0", "rows", "cols", "data")
+
+    def one(r: dict, template: np.ndarray, window: np.ndarray) -> tuple[float | None, float | None, float | None, str]:
+        sx, sy, dx, dy = r["cx0"], r["cy0"], r["cx1"], r["cy1"]
         if np.isnan(template).any() or np.isnan(window).any():
             return None, None, None, "clipped"
         c = surface(template, window, centred)
@@ -115,13 +133,22 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, *, key:
         more = (r["x0"] - sx, r["y0"] - sy) if keep_fraction else (0.0, 0.0)
         return dx + px - search + fx + more[0], dy + py - search + fy + more[1], float(c[py, px]), "refined"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            x, y, score, status = zip(*map(one, rows), strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("x1"), batch.column("y1"), *(pa.array(c, pa.float64()) for c in (x, y, score)), pa.array(status, pa.string())], ["m", "x1", "y1", "x", "y", "score", "status"])
-
-    found = m.join(a, "m", "left").join(b, "m", "left").mapInArrow(run, "m long, x1 double, y1 double, x double, y double, score double, status string")
+    def meet(points: pa.Table, found: pa.Table) -> pa.Table:
+        rows, held = points.to_pylist(), found.to_pylist()
+        out = []
+        if rows:
+            (a, ar, ac), (b, br, bc) = (_joined(rows, [q for q in held if q["side"] == side], side, half) for side, half in ((0, radius), (1, radius + search)))
+            t, w = 2 * radius + 1, 2 * (radius + search) + 1
+            for r in rows:
+                y0, x0, y1, x1 = r["cy0"] - radius - ar, r["cx0"] - radius - ac, r["cy1"] - radius - search - br, r["cx1"] - radius - search - bc
+                out.append(one(r, a[y0 : y0 + t, x0 : x0 + t], b[y1 : y1 + w, x1 : x1 + w]))
+        x, y, score, status = zip(*out, strict=True) if out else ((),) * 4
+        return pa.table([*(points.column(c).combine_chunks() for c in ("m", "x1", "y1")), *(pa.array(c, pa.float64()) for c in (x, y, score)), pa.array(status, pa.string())], ["m", "x1", "y1", "x", "y", "score", "status"])
+
+    found = whole.groupBy(*REGION, "deal").cogroup(parts.groupBy(*REGION, "deal")).applyInArrow(meet, "m long, x1 double, y1 double, x double, y double, score double, status string")
+    none = F.lit(None).cast("double")
+    rest = m.where("x0 is null or y0 is null or x1 is null or y1 is null or image_id is null").select("m", "x1", "y1", none.alias("x"), none.alias("y"), none.alias("score"), F.lit("clipped").alias("status"))
+    found = found.unionByName(rest)
     shift = F.sqrt((F.col("x") - F.col("x1")) * (F.col("x") - F.col("x1")) + (F.col("y") - F.col("y1")) * (F.col("y") - F.col("y1")))
     return found.select(F.col("m").alias(key), F.coalesce("x", "x1").alias("rx"), F.coalesce("y", "y1").alias("ry"), shift.alias("shift"), "score", "status")
 

@@ -50,3 +50,27 @@ def test_fractions_flat_images_and_no_matches(spark):
     holed = image.copy()
     holed[33, 33] = np.nan
     assert subpixel.refine(m, table(spark, holed, 32), a, tile=32).first().status == "clipped"
+
+
+def test_matches_that_share_regions(spark, monkeypatch):
+    a, b = table(spark, scene((90, 100)), 32), table(spark, scene((90, 100), 0.3, -0.6), 32)
+    rows = [(i, 0, float(x), float(y), float(x + i % 3 - 1), float(y - i % 2)) for i, (x, y) in enumerate((x, y) for x in range(5, 98, 6) for y in range(5, 88, 7))] + [(500, None, 40.0, 40.0, 40.0, 40.0)]
+    m = spark.createDataFrame(rows, MATCH)
+    alone = sorted(subpixel.refine(m, a, b, tile=32).collect(), key=lambda r: r.m)
+    for name, value in {"CELL": 40, "FEW": 2, "CROWD": 5}.items():
+        monkeypatch.setattr(subpixel, name, value)
+    shared = sorted(subpixel.refine(m, a, b, tile=32).collect(), key=lambda r: r.m)
+    assert shared == alone and len(alone) == len(rows) and {r.status for r in alone} == {"clipped", "refined"}
+
+
+def test_parts_grow_with_the_images_and_not_with_the_matches(spark):
+    a = table(spark, scene((200, 200)), 64)
+    rows = [(i, 0, 40.0 + i % 50, 40.0 + i // 50, 41.0 + i % 50, 39.0 + i // 50) for i in range(2500)]
+    held = []
+    keep = subpixel._parts
+    subpixel._parts = lambda *args: held.append(keep(*args)) or held[-1]
+    try:
+        subpixel.refine(spark.createDataFrame(rows, MATCH), a, a, tile=64)
+    finally:
+        subpixel._parts = keep
+    assert sum(len(r.data) for p in held for r in p.select("data").collect()) < 1_000_000  # patches of all matches: 9 MB
