@@ -37,14 +37,19 @@ def blocks(m: DataFrame, key: Sequence[str], size: int = BLOCK) -> tuple[DataFra
     Points with a NULL or non-finite coordinate are left out.
     """
     xy = ("x0", "y0", "x1", "y1")
-    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in xy]
-    good = m.where(finite[0] & finite[1] & finite[2] & finite[3]).select("pair_id", *key, *[F.col(c).cast("double").alias(c) for c in xy])
+
+    def finite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.isfinite([batch.column(c).to_numpy(zero_copy_only=False) for c in xy]).all(axis=0)))
+
+    # Tested in the tasks: as a filter it would be pushed down and repeat the coordinates' expressions.
+    good = m.select(F.col("pair_id").cast("long").alias("pair_id"), F.xxhash64(*key).alias("k"), *[F.col(c).cast("double").alias(c) for c in xy]).mapInArrow(finite, "pair_id long, k long, x0 double, y0 double, x1 double, y1 double")
     spread = lambda a, b: F.sqrt(F.var_pop(a) + F.var_pop(b))
     frame = F.array(*[F.avg(c) for c in xy], spread("x0", "y0"), spread("x1", "y1"))
     pairs = staged(good.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), frame.alias("frame")))
     unit = lambda c, i, s: (F.col(c) - F.col("frame")[i]) / F.when(F.col("frame")[s] > 0, F.col("frame")[s]).otherwise(1.0)
-    point = F.struct(F.xxhash64(*key).alias("k"), *[unit(c, i, 4 + i // 2).alias(c) for i, c in enumerate(xy)])
-    block = F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.ceil(F.col("n") / size))
+    point = F.struct("k", *[unit(c, i, 4 + i // 2).alias(c) for i, c in enumerate(xy)])
+    block = F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.ceil(F.col("n") / size))
     dealt = good.join(pairs, "pair_id").select("pair_id", block.alias("block"), point.alias("p"))
     return pairs, staged(dealt.groupBy("pair_id", "block").agg(F.collect_list("p").alias("pts")))  # about `size` points
 
