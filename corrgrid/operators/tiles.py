@@ -2,23 +2,27 @@
 
 A row is one tile of up to TILE x TILE values (32-bit little-endian floats, NaN for no data) with the
 size of its image. A neighbourhood operator sends each tile to its own key and its borders to the
-neighbours' keys: one exchange of the image plus 4 halo / TILE of it, whatever the kernel. Tasks put
-one padded tile together at a time, so memory is bounded by a tile, and a large image is spread over
-as many tasks as it has tiles. Kernels are NumPy functions of a padded tile.
+neighbours' keys: one exchange of the image plus 4 halo / TILE of it, whatever the kernel. Tasks take
+one tile at a time from batches of bounded bytes and put one padded tile together at a time, so their
+memory grows with neither the image nor the tiles of a task, and a large image is spread over as many
+tasks as it has tiles. Kernels are NumPy functions of a padded tile.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 256
+#: Bytes of a batch of tiles that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 KEY = ["image_id", "ty", "tx"]
 HEAD = "image_id long, ty int, tx int, height int, width int, rows int, cols int"
 _HEAD = [("image_id", pa.int64()), *((n, pa.int32()) for n in ("ty", "tx", "height", "width", "rows", "cols"))]
@@ -30,6 +34,21 @@ def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, "<f4").tobytes()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at BATCH_BYTES: a row may be a whole tile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", spark.conf.get(key).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches as Python values, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def from_pixels(px: DataFrame, v: str, height: int, width: int, *, tile: int = TILE) -> DataFrame:
     """Tiles of a pixel table (image_id, row, col, v). Pixels without a row are no data, as NULL; of repeated
     positions one counts; rows beyond the image are left out. Tiles without any row do not exist."""
@@ -50,12 +69,12 @@ def to_pixels(tiles: DataFrame, *planes: str, tile: int = TILE) -> DataFrame:
     planes = planes or ("data",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                row, col = (x.ravel() for x in np.mgrid[: r["rows"], : r["cols"]].astype(np.int32))
-                values = [np.frombuffer(r[p], "<f4").astype(float) for p in planes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["image_id"], np.int64)), pa.array(row + np.int32(r["ty"] * tile)), pa.array(col + np.int32(r["tx"] * tile)), *(pa.array(x, mask=np.isnan(x)) for x in values)], ["image_id", "row", "col", *planes])
+        for r in each(batches):
+            row, col = (x.ravel() for x in np.mgrid[: r["rows"], : r["cols"]].astype(np.int32))
+            values = [np.frombuffer(r[p], "<f4").astype(float) for p in planes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["image_id"], np.int64)), pa.array(row + np.int32(r["ty"] * tile)), pa.array(col + np.int32(r["tx"] * tile)), *(pa.array(x, mask=np.isnan(x)) for x in values)], ["image_id", "row", "col", *planes])
 
+    small_batches(tiles.sparkSession)
     return tiles.select(*KEY, "rows", "cols", *planes).mapInArrow(run, "image_id long, row int, col int, " + ", ".join(f"{p} double" for p in planes))
 
 
@@ -74,21 +93,20 @@ def neighbourhood(tiles: DataFrame, halo: int, kernel: Kernel, planes: Sequence[
     reach = -(-halo // tile)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for r in each(batches):
             out = []
-            for r in batch.to_pylist():
-                a = np.frombuffer(r["data"], "<f4").reshape(r["rows"], r["cols"])
-                top, left = r["ty"] * tile, r["tx"] * tile
-                for dy in range(-reach, reach + 1):
-                    for dx in range(-reach, reach + 1):
-                        ty, tx = r["ty"] + dy, r["tx"] + dx
-                        if ty < 0 or tx < 0 or ty * tile >= r["height"] or tx * tile >= r["width"]:
-                            continue
-                        # The part of this tile within the other's padded extent.
-                        r0, r1 = max(top, ty * tile - halo), min(top + r["rows"], min((ty + 1) * tile, r["height"]) + halo)
-                        c0, c1 = max(left, tx * tile - halo), min(left + r["cols"], min((tx + 1) * tile, r["width"]) + halo)
-                        if r0 < r1 and c0 < c1:
-                            out.append({"image_id": r["image_id"], "ty": ty, "tx": tx, "height": r["height"], "width": r["width"], "rows": r1 - r0, "cols": c1 - c0, "row0": r0, "col0": c0, "own": dy == dx == 0, "data": packed(a[r0 - top : r1 - top, c0 - left : c1 - left])})
+            a = np.frombuffer(r["data"], "<f4").reshape(r["rows"], r["cols"])
+            top, left = r["ty"] * tile, r["tx"] * tile
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    ty, tx = r["ty"] + dy, r["tx"] + dx
+                    if ty < 0 or tx < 0 or ty * tile >= r["height"] or tx * tile >= r["width"]:
+                        continue
+                    # The part of this tile within the other's padded extent.
+                    r0, r1 = max(top, ty * tile - halo), min(top + r["rows"], min((ty + 1) * tile, r["height"]) + halo)
+                    c0, c1 = max(left, tx * tile - halo), min(left + r["cols"], min((tx + 1) * tile, r["width"]) + halo)
+                    if r0 < r1 and c0 < c1:
+                        out.append({"image_id": r["image_id"], "ty": ty, "tx": tx, "height": r["height"], "width": r["width"], "rows": r1 - r0, "cols": c1 - c0, "row0": r0, "col0": c0, "own": dy == dx == 0, "data": packed(a[r0 - top : r1 - top, c0 - left : c1 - left])})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([*_HEAD, ("row0", pa.int32()), ("col0", pa.int32()), ("own", pa.bool_()), ("data", pa.binary())]))
 
@@ -109,6 +127,7 @@ def neighbourhood(tiles: DataFrame, halo: int, kernel: Kernel, planes: Sequence[
         values = dict(zip(planes, map(packed, kernel(a, halo)), strict=True))
         return pa.Table.from_pylist([{n: own[n] for n, _ in _HEAD} | values], schema)
 
+    small_batches(tiles.sparkSession)
     parts = tiles.select(*HEAD.replace(" long", "").replace(" int", "").split(", "), "data").mapInArrow(send, f"{HEAD}, row0 int, col0 int, own boolean, data binary")
     return parts.groupBy(*KEY).applyInArrow(meet, HEAD + "".join(f", {p} binary" for p in planes))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from corrgrid.operators.tiles import each, small_batches
 from corrgrid.sources.products import ProductError, parse_label
 
 #: Bytes of a strip at most (one row at least), and values of an emitted batch.
@@ -211,17 +212,16 @@ class ArrayWriter(DataSourceArrowWriter):
         system, folder = opened(self.path)
         system.create_dir(folder, recursive=True)
         done = []
-        for batch in iterator:
-            for r in batch.to_pylist():
-                v = np.frombuffer(r["values"], "<f4").copy()
-                if len(v) != r["rows"] * r["cols"]:
-                    raise ProductError(f"{r['name']}: {len(v)} values for {r['rows']} x {r['cols']}")
-                v[~np.isfinite(v)] = MISSING
-                # Named by the attempt: what a failed or repeated task leaves is never labelled.
-                data = f"{r['name']}-{self.job}-{uuid.uuid4().hex[:8]}.img"
-                with system.open_output_stream(f"{folder}/{data}") as f:
-                    f.write(v.tobytes())
-                done.append((r["name"], data, r["rows"], r["cols"]))
+        for r in each(iterator):
+            v = np.frombuffer(r["values"], "<f4").copy()
+            if len(v) != r["rows"] * r["cols"]:
+                raise ProductError(f"{r['name']}: {len(v)} values for {r['rows']} x {r['cols']}")
+            v[~np.isfinite(v)] = MISSING
+            # Named by the attempt: what a failed or repeated task leaves is never labelled.
+            data = f"{r['name']}-{self.job}-{uuid.uuid4().hex[:8]}.img"
+            with system.open_output_stream(f"{folder}/{data}") as f:
+                f.write(v.tobytes())
+            done.append((r["name"], data, r["rows"], r["cols"]))
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -315,4 +315,5 @@ def read_labelled(labels: DataFrame) -> DataFrame:
 def write_arrays(products: DataFrame, path: str, mode: str = "append") -> None:
     """One product per row (name, rows, cols, values: 32-bit little-endian floats, NaN for NULL) in a folder."""
     register(products.sparkSession)
+    small_batches(products.sparkSession)
     products.select("name", "rows", "cols", "values").write.format("labelled_array").option("path", path).mode(mode).save()

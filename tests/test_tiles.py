@@ -1,9 +1,13 @@
 """Neighbourhood operators on tiles against plain NumPy on whole images."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corrgrid.operators import tiles as T
+from corrgrid.sources.derived import large_tiles
 
 
 def table(spark, a, tile, image=3, drop=()):
@@ -121,3 +125,37 @@ def test_pixels_and_back(spark):
     t = T.from_pixels(spark.createDataFrame(px, "image_id long, row long, col long, v double"), "v", 37, 50, tile=16)
     back = {(r.row, r.col): r.data for r in T.to_pixels(t, tile=16).collect()}
     assert len(back) == a.size and all(back[r, c] == (None if np.isnan(a[r, c]) or not (r + c) % 11 else a[r, c]) for r in range(37) for c in range(50))
+
+
+def test_tasks_take_one_tile_at_a_time(spark, monkeypatch):
+    """Python memory of a task over a batch of 100 tiles: that of a few, not of all."""
+    found = []
+    t = table(spark, image((64, 64)), 64)
+    monkeypatch.setattr(type(t), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+    T.to_pixels(t)
+    T.neighbourhood(t, 1, lambda a, halo: (a,))
+    large_tiles(spark, "/root/testdata/sf0.001")
+    n, const = 100, lambda v: pa.array(np.full(100, v, np.int32))
+    head = {"image_id": pa.array(np.zeros(n, np.int64)), "ty": const(1), "tx": const(1), **{c: const(4 * T.TILE) for c in ("height", "width")}, **{c: const(T.TILE) for c in ("rows", "cols")}}
+    tiles = pa.RecordBatch.from_pydict({**head, "data": pa.array([bytes(4 * T.TILE**2)] * n)})
+    cells = pa.RecordBatch.from_pydict({"ty": head["ty"], "tx": head["tx"], "cells": pa.array([[{"cy": i // 32, "cx": i % 32, "base": 7} for i in range(1024)]] * n)})
+    for f, batch in zip(found, (tiles, tiles, cells), strict=True):
+        list(f(iter([batch.slice(0, 1)])))
+        tracemalloc.start()
+        for out in f(iter([batch])):
+            assert out.num_rows <= T.TILE**2
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * 4 * T.TILE**2, f
+
+
+@pytest.mark.parametrize("before, after", [("64m", f"{T.BATCH_BYTES}b"), ("1m", "1m"), ("2048b", "2048b")])
+def test_batches_of_tiles_are_bounded(spark, before, after):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, before)
+        T.small_batches(spark)
+        assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, was)
