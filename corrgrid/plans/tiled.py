@@ -11,7 +11,7 @@ from corrgrid.operators import points, register, subpixel, tiles
 from corrgrid.plans.registry import query
 from corrgrid.sources import arrays
 from corrgrid.sources.derived import H_TRUE, LARGE_SQL, large_tiles
-from corrgrid.staging import shared_dir
+from corrgrid.staging import shared_dir, staged
 
 _L = f"WITH {LARGE_SQL}"
 
@@ -82,12 +82,12 @@ def product_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("template_shifts", "SELECT (o_orderkey % 4)::INT AS class, count(*) AS n, 0::BIGINT AS wrong FROM orders GROUP BY ALL")
 def template_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the large image, shown up to two pixels off, find their places again: wrong counts those that do not."""
-    t = large_tiles(spark, sf_dir)
+    t = staged(large_tiles(spark, sf_dir), options={"parquet.block.size": str(16 << 20)})  # read as source and as reference
     side = t.select("height").first()[0]
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     x, y = (F.col("o_orderkey") * 37) % side, (F.col("o_custkey") * 53 + F.col("o_orderkey")) % side
     m = o.select(F.col("o_orderkey").alias("m"), F.lit(0).alias("image_id"), x.alias("x0"), y.alias("y0"), (x + F.col("o_orderkey") % 5 - 2).alias("x1"), (y + F.col("o_custkey") % 5 - 2).alias("y1"))
-    found = subpixel.refine(m, t, t).join(m, "m")
+    found = subpixel.refine(m, t, t, keep=("x0", "y0"))
     wrong = (F.col("status") == "edge") | ((F.col("status") == "refined") & ((F.abs(F.col("rx") - F.col("x0")) > 0.5) | (F.abs(F.col("ry") - F.col("y0")) > 0.5)))
     return found.groupBy((F.col("m") % 4).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"))
 

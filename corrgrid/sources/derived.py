@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrgrid.operators.tiles import HEAD, each, packed, small_batches
+from corrgrid.operators.tiles import HEAD, packed, small_batches
 
 #: The true 3 x 3 of the synthetic pairs, row-major.
 H_TRUE = (0.98, -0.12, 14.0, 0.11, 1.01, -7.5, 2e-5, -1e-5, 1.0)
@@ -84,12 +84,14 @@ def large_tiles(spark: SparkSession, sf_dir: str, tile: int = 256) -> DataFrame:
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[:8, :8]
         texture = np.tile((y * y * 3 + x * 5 + y * x) % 97, (cells, cells))
-        for r in each(batches):
-            level = np.full((cells, cells), np.nan)
-            for c in r["cells"] or []:
-                level[c["cy"], c["cx"]] = c["base"]
-            data = packed((np.kron(level, np.ones((8, 8))) + texture) % 256)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(pa.array([v], pa.int32()) for v in (r["ty"], r["tx"], side, side, tile, tile)), pa.array([data], pa.binary())], ["image_id", "ty", "tx", "height", "width", "rows", "cols", "data"])
+        for batch in batches:
+            for ty, tx, held in zip(*(batch.column(c) for c in ("ty", "tx", "cells")), strict=True):
+                level = np.full((cells, cells), np.nan)
+                if held.is_valid:
+                    at_y, at_x, base = (held.values.field(c).to_numpy(zero_copy_only=False) for c in ("cy", "cx", "base"))
+                    level[at_y, at_x] = base
+                data = packed((level.repeat(8, axis=0).repeat(8, axis=1) + texture) % 256)
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(pa.array([v], pa.int32()) for v in (ty.as_py(), tx.as_py(), side, side, tile, tile)), pa.array([data], pa.binary())], ["image_id", "ty", "tx", "height", "width", "rows", "cols", "data"])
 
     small_batches(spark)
     return keys.join(held, ["ty", "tx"], "left").mapInArrow(paint, f"{HEAD}, data binary")

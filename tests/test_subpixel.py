@@ -74,3 +74,52 @@ def test_parts_grow_with_the_images_and_not_with_the_matches(spark):
     finally:
         subpixel._parts = keep
     assert sum(len(r.data) for p in held for r in p.select("data").collect()) < 1_000_000  # patches of all matches: 9 MB
+
+
+@pytest.mark.parametrize("kind", ["grey", "scene", "flat", "faint", "hole", "far"])
+@pytest.mark.parametrize("centred", [True, False])
+def test_sums_by_displacement_equal_those_of_each_match(monkeypatch, kind, centred):
+    """What crowded matches share gives what each gives alone, to the bit, and the plain correlation."""
+    rng = np.random.default_rng(6)
+    image = np.floor(rng.uniform(0, 256, (90, 95))) if kind == "grey" else scene((90, 95))
+    if kind == "flat":
+        image[10:70, 10:70] = 0.5
+    if kind == "faint":
+        image = 1e5 + image / 1e3
+    if kind == "hole":
+        image[45, 45] = np.nan
+    src = rng.integers(15, 70, (40, 2))
+    ref = rng.integers(15, 70, (40, 2)) if kind == "far" else src + rng.integers(-3, 3, (40, 2))
+    for radius, search in ((8, 4), (3, 2), (1, 1)):
+        t, n = 2 * radius + 1, 2 * search + 1
+        p, q = src - radius, ref - radius - search
+        got = []
+        for share in (0, 1 << 40):
+            monkeypatch.setattr(subpixel, "SHARE", share)
+            got.append(subpixel._surfaces(image, image, p, q, t, n, centred))
+        assert all(np.array_equal(x, y, equal_nan=True) for x, y in zip(*got, strict=True))
+        c, hole, flat = got[0]
+        for i, ((y, x), (v, u)) in enumerate(zip(p, q, strict=True)):
+            template, window = image[y : y + t, x : x + t], image[v : v + t + n - 1, u : u + t + n - 1]
+            assert hole[i] == (np.isnan(template).any() or np.isnan(window).any()) and flat[i] == (np.ptp(template) == 0)
+            if not hole[i] and not (flat[i] and centred):
+                assert c[i] == pytest.approx(subpixel.surface(template, window, centred).ravel(), abs=1e-9)
+
+
+def test_crowded_matches_are_not_correlated_one_by_one(monkeypatch):
+    image = scene((288, 288))
+    src = RNG.integers(20, 260, (3000, 2))
+    ref = src + RNG.integers(-2, 3, src.shape)
+    for name in ("surface", "_alone"):
+        monkeypatch.setattr(subpixel, name, lambda *args: pytest.fail("one match alone"))
+    c = subpixel._surfaces(image, image, src - 8, ref - 12, 17, 9, True)[0]
+    at = np.column_stack(np.unravel_index(c.argmax(axis=1), (9, 9))) - 4
+    assert np.array_equal(ref + at, src)
+
+
+def test_columns_handed_on_and_coordinates_that_are_no_number(spark):
+    a = table(spark, scene((60, 60)), 32)
+    rows = [(1, 0, 30.0, 30.0, 31.0, 30.0, "a"), (2, 0, float("nan"), 30.0, 31.0, 30.0, "b"), (3, 0, 30.0, 30.0, 31.0, None, None)]
+    m = spark.createDataFrame(rows, MATCH + ", name string")
+    got = {r.m: r for r in subpixel.refine(m, a, a, keep=("x0", "name"), tile=32).collect()}
+    assert [(got[i].name, got[i].status) for i in (1, 2, 3)] == [("a", "refined"), ("b", "clipped"), (None, "clipped")] and got[1].x0 == 30.0 and got[3].x0 == 30.0
